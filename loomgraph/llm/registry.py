@@ -1,0 +1,8 @@
+"""Queries over the corpus operators, and the SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from loomgraph.llm import queries as _q
+
+QUERIES = _q.QUERIES
+ORACLE_SQL = _q.ORACLE_SQL
