@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import SPACE, doc_text, mix, text_slices, word_hashes, words
 from loomgraph.plans.session import stored
 
 MIN_WORDS = 50
-#: Share of the rows that the estimates rest on, concentration steps, and the floor of each scale.
+#: Share of the rows that the estimates rest on, concentration steps, and the floor of each scale: on scales that are
+#: logarithms, a difference of some 15 % is never remarkable, however alike the rows of a group are.
 SUPPORT = 0.75
 STEPS = 4
-FLOOR = 0.02
+FLOOR = 0.15
 MIN_GROUP = 50
 #: Squared distance beyond which a row goes, and bins of the distance histogram to a factor of two.
 CUT = 60.0
@@ -89,9 +90,8 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for k in range(3):
             covered[found + k] = True
     repeat = np.bincount(word_doc[covered], minlength=n)
-    _, again = _grouped(hashes, word_doc)
-    order_doc = word_doc  # counts by document don't depend on the order
-    distinct = n_words - np.bincount(order_doc[np.argsort(mix(hashes ^ mix(word_doc.astype(np.uint64) + np.uint64(1))))][again], minlength=n)
+    order, again = _grouped(hashes, word_doc)
+    distinct = n_words - np.bincount(word_doc[order][again], minlength=n)
     return np.stack([n_words, chars, _sums(SYMBOLS[data], offsets), dup, repeat, distinct, _sums(STOPS[data], offsets), _sums(DIGITS[data], offsets)], 1)
 
 
@@ -116,10 +116,10 @@ def vector() -> list[Column]:
     share = lambda c, low: F.log(F.col(c) / F.greatest(F.col("n_words"), F.lit(1)) + low)
     return [
         F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)).alias("x0"),
-        share("n_symbols", 0.1).alias("x1"),
+        share("n_symbols", 0.05).alias("x1"),
         share("n_stops", 0.2).alias("x2"),
-        share("n_digits", 0.2).alias("x3"),
-        share("n_repeat_words", 0.2).alias("x4"),
+        share("n_digits", 0.5).alias("x3"),
+        share("n_repeat_words", 0.5).alias("x4"),
     ]
 
 
@@ -178,8 +178,6 @@ def fit(rows: DataFrame, keys: list[str]) -> DataFrame:
         near = _with(rows, estimates, keys).where(F.col("m").isNotNull()).withColumn("_bin", F.floor(F.log2(_distance() + 1e-6) * BINS))
         binned = near.groupBy(*keys, "_bin").agg(*_moments())
         # the nearest SUPPORT of a group: whole bins of its histogram up to that share
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         before = F.coalesce(F.sum("n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inner = binned.withColumn("_before", before).withColumn("_all", F.sum("n").over(w)).where(F.col("_before") < F.col("_all") * SUPPORT)

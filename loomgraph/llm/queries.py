@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, langid, licenses, quality, secrets, tokencount
+from loomgraph.llm import bpe, decontam, langid, licenses, lmscore, neardup, pii, quality, secrets, tokencount
 from loomgraph.llm.common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_score(spark, sf_dir):
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -18,6 +26,10 @@ def op5_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -30,5 +42,13 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_byte_bpe, op5_token_counts, op7_quality_rules, op8_language_id, op9_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_pii, op2_lm_score, op3_license_scan, op4_byte_bpe, op5_token_counts, op6_near_duplicates, op7_quality_rules, op8_language_id,
+    op9_secret_scan, op10_decontamination,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op10_decontamination": decontam.LEAKS_SQL}
