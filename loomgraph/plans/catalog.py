@@ -1,4 +1,76 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries, over reads derived from documents at k=23 and cutoff 5."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions.kmers import partition_hash
+from loomgraph.operators import arcs as A
+from loomgraph.operators import clean
+from loomgraph.operators import contigs as C
+from loomgraph.operators.compact import compact
+from loomgraph.plans import assembly
+from loomgraph.plans.oracle import CUTOFF, K, ORACLE_SQL  # noqa: F401
+from loomgraph.plans.session import stored
+from loomgraph.sources.reads import documents
+
+REFERENCE_LENGTH = 10_000
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, K)
+
+
+def _counted(spark, sf_dir):
+    return A.count_arcs(_reads(spark, sf_dir), K)
+
+
+def _unit(spark, sf_dir):
+    return assembly.graph(_reads(spark, sf_dir), K, CUTOFF)
+
+
+def _compacted(spark, sf_dir):
+    return stored(compact(_unit(spark, sf_dir), K), "compacted")
+
+
+def _histogram(spark, sf_dir):
+    kmers = A.kmer_counts(_reads(spark, sf_dir), K).agg(F.count("*").alias("n_kmers"))
+    return A.histogram(stored(_counted(spark, sf_dir), "counted"), kmers, spark)
+
+
+def _after(step):
+    return lambda spark, sf_dir: step(_compacted(spark, sf_dir))
+
+
+def _short(arcs: DataFrame) -> DataFrame:
+    return arcs.select("src", "arc_idx", "mult")
+
+
+QUERIES = {
+    "reads_sanitized": _reads,
+    "kmer_canonical_counts": lambda s, d: A.kmer_counts(_reads(s, d), K),
+    "kmer_distinct": lambda s, d: A.kmer_counts(_reads(s, d), K).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n_occurrences")),
+    "arc_multiplicity": _counted,
+    "arc_histogram": _histogram,
+    "arc_cutoff": lambda s, d: A.cutoff(_counted(s, d), CUTOFF),
+    "node_degree_class": lambda s, d: A.degrees(_unit(s, d)),
+    "semi_extended_nodes": lambda s, d: A.degrees(_unit(s, d)).where("degree_class = 'semi_extended'").select("src"),
+    "graph_statistics": lambda s, d: A.graph_statistics(_unit(s, d), K),
+    "neighbor_twin_join": lambda s, d: A.twins(stored(_unit(s, d), "arcs"), K),
+    "kmer_adjacency": lambda s, d: A.adjacency(_unit(s, d), K),
+    "edge_list": lambda s, d: A.edge_list(_unit(s, d)),
+    "partition_histogram": lambda s, d: A.kmer_counts(_reads(s, d), K).groupBy((partition_hash(F.col("kmer")) % 24).alias("part")).agg(F.count("*").alias("n")),
+    "compacted_arcs": _compacted,
+    "contigs": _after(lambda a: C.contigs(a, K)),
+    "contig_stats": _after(lambda a: C.statistics(stored(C.contigs(a, K), "contigs"), REFERENCE_LENGTH)),
+    "tips_removed": lambda s, d: _short(clean.remove_tips(stored(_unit(s, d), "arcs"), K)),
+    "low_coverage_removed": lambda s, d: _short(clean.remove_low_coverage(stored(_unit(s, d), "arcs"), K)),
+    "master_statistics": _after(lambda a: A.master_statistics(a, K)),
+    "parallel_edges": _after(clean.parallel_pairs),
+    "bubble_pop": _after(lambda a: clean.bubbles(a, K)),
+    "loop_unroll": _after(lambda a: clean.unroll_loops(a, K)),
+    "repeat_linearise": _after(lambda a: clean.linearise_repeats(a, K)),
+    "cross_edge": _after(lambda a: clean.resolve_cross_edges(a, K)),
+    "assemble_full": lambda s, d: assembly.assemble(_reads(s, d), K, CUTOFF),
+}
