@@ -24,7 +24,7 @@ def rc(s):
 
 
 def random_dna(n, seed):
-    return "".join(random.Random(seed).choice("ACGT") for _ in range(n))
+    return "".join(random.Random(seed).choices("ACGT", k=n))
 
 
 def reads_of(spark, *seqs):
