@@ -1,0 +1,290 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, repeats, empty tables and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from loomgraph.llm import attention, bpe, decontam, graph, langid, licenses, lmscore, neardup, pii, quality, queries, secrets, tokencount
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, key string, bucket string"
+RNG = random.Random(1)
+WORDS = ["".join(RNG.choices("abcdefghilmnoprstu", k=RNG.randint(2, 9))) for _ in range(400)]
+
+
+def prose(n, seed):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+ODD = [
+    (1, None, "en", "s", 1), (2, "", None, None, 0), (3, " \n\t ", "en", "s", 4), (4, prose(120, 1), "en", "s", 5), (4, prose(120, 1), "en", "s", 5),
+    (None, "Ünïcode ſtraße 漢字 " + prose(60, 2), "en", None, 9), (6, prose(120, 1) + " tail", None, "s", 5), (7, "x" * 50_000, "fr", "s", 1),
+    (8, prose(40_000, 3), "fr", "t", 1), (9, "a, b. <|endoftext|> don't\r\n1 22 é Å.", "fr", "t", 1), (10, "\x00 \x1f　   +1 (212) 555-0199", "fr", None, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "w", "k", "b") for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+OPERATORS = {
+    "pii": pii.detect, "lm": lmscore.score, "license": licenses.scan, "bpe": bpe.digests, "tokens": tokencount.token_counts,
+    "near": neardup.classify, "quality": quality.judge, "language": langid.identify, "secrets": secrets.scan,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_empty_table(odd, name):
+    got = [r["doc_id"] for r in OPERATORS[name](odd).collect()]
+    assert Counter(got) == Counter(r[0] for r in ODD)
+    assert OPERATORS[name](odd.limit(0)).count() == 0
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def texts_of(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.collect()}
+
+
+def test_bpe_is_the_library_and_round_trips(docs, odd):
+    import public_tokenizers
+
+    library = bpe._encoding(open(bpe.default_ranks(), "rb").read(), public_tokenizers.PATTERN)
+    for df in (docs.limit(60), odd):
+        texts = texts_of(df)
+        for i, r in by_id(bpe.digests(df)).items():
+            ids = library.encode_ordinary(texts[i])
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            assert r["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
+    long = prose(3000, 5) + "  \n two   spaces' s 12 é" + prose(3000, 6)
+    assert bpe.encode_text(library, long, 500).tolist() == library.encode_ordinary(long)
+    assert {r["doc_id"]: bytes(r["bytes"]).decode() for r in bpe.decode(bpe.encode(odd)).collect()} == texts_of(odd)
+
+
+def test_token_counts_are_the_librarys(docs, odd):
+    library = tokencount._tokenizer(open(tokencount.default_tokenizer(), encoding="utf-8").read())
+    for df in (docs, odd):
+        texts = texts_of(df)
+        for i, r in by_id(tokencount.token_counts(df)).items():
+            n = len(library.encode(texts[i], add_special_tokens=False).ids)
+            assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[i].encode()), n > 2048), i
+
+
+@pytest.mark.parametrize("text", ["H̱A, é. '<|STARTOFTEXT|>' İs", "<|startoftext|>a<|endoftext|>, b", "ab,, c. . d.\x0be.", "naïve, É. 1.5, x.́ "])
+def test_token_counts_of_hard_texts(spark, text):
+    library = tokencount._tokenizer(open(tokencount.default_tokenizer(), encoding="utf-8").read())
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert tokencount.token_counts(df).first()["n_tokens"] == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_pii_base_is_the_patterns():
+    kinds = {
+        "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    }
+    ok = {
+        "email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15,
+        "card": lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0,
+    }
+    rng = random.Random(2)
+    samples = ["".join(rng.choices("a.@+-1234567890 ()%", k=60)) for _ in range(400)] + ["x@y", "a@b@c.de", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111 x 4111-1111-1111-1112", "+1 (988) 555-2485"]
+    for t in samples:
+        want = [(k, m.start(), m.end()) for k, p in kinds.items() for m in p.finditer(t) if ok[k](m[0])]
+        assert pii.base_spans(t) == want, t
+
+
+def test_pii_field_decodes_exactly_and_adds(spark):
+    field = pii.trained()
+    right = total = 0
+    for words_, states in pii.examples(150, seed=77):
+        f, y = pii.encoded(words_, states)
+        got = field.decode(f, np.array([0, len(f)]))
+        assert (got == field.decode(f, np.array([0, len(f)]), whole=True)).all()
+        right, total = right + (got == y).sum(), total + len(y)
+    assert right / total > 0.98
+    df = spark.createDataFrame([(1, "call 212-555-1234 or é (212) 555-0199."), (2, "plain words of 2021-03-04, v1.2.3")], "doc_id long, text string")
+    got = by_id(pii.detect(df))
+    assert got[1]["spans"] == "phone:5:17,phone:23:37" and got[2]["spans"] == ""
+    masked = by_id(pii.mask(df.selectExpr("*", "length(text) AS n_chars")))
+    assert masked[1]["text"] == "call <phone> or é <phone>." and masked[1]["n_chars"] == 26
+
+
+def test_lm_base_scores_and_proper_distribution(docs):
+    texts = texts_of(docs)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    cut = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), b""]
+    c = Counter(w for i, t in texts.items() if not held[i] for w in cut(t))
+    n, v = sum(c.values()), len(c)
+    got = by_id(lmscore.score(docs))
+    for i, t in texts.items():
+        w = cut(t)
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and -1e7 < r["score"] < 0
+
+
+def test_attention_scores_each_token_once_and_sums_to_one():
+    counts = np.array([5.0, 3, 9, 0, 1, 2] + [1] * 60 + [7])
+    texts = [np.random.default_rng(i).integers(0, 66, 70) for i in range(8)]
+    lm = attention.AttentionLM(counts).train(texts)
+    ids = np.concatenate([texts[0], [66], texts[1][:5], [66]])
+    whole = lm.score(ids, np.array([71, 6]))
+    assert np.allclose(whole, [lm.score(ids[:71], np.array([71]))[0], lm.score(ids[71:], np.array([6]))[0]], rtol=1e-4)
+    prefix = ids[:30]
+    each = [lm.score(np.append(prefix, k), np.array([31]))[0] - lm.score(prefix, np.array([30]))[0] for k in range(67)]
+    assert abs(np.exp(each).sum() - 1) < 1e-3
+    x, live, target = lm.windows(ids, np.array([71, 6]))
+    assert sorted(target[target >= 0].tolist()) == list(range(77))
+    y = np.where(target >= 0, lm.cls[ids[np.maximum(target, 0)]], -1)
+    slow = np.take_along_axis(lm._forward(x, live, attention.STEP)[0], np.maximum(y, 0)[:, :, None], 2)[:, :, 0]
+    assert np.allclose(lm._scored(x, live, y)[y >= 0], slow[y >= 0], atol=1e-4)
+
+
+def test_license_base_and_method(spark, docs):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    extra = spark.createDataFrame([(-1, "Apache, License! MIT\nlicense é Cc-by CC BY"), (-2, prose(50, 1) + " Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files " + prose(50, 2))], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(extra)
+    got = by_id(licenses.scan(df))
+    for i, t in texts_of(df).items():
+        w = word.findall(t.translate(lower))
+        at = [(k, label) for p, label in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+    assert got[-2]["labels"] == "mit" and 0.6 <= got[-2]["score"] <= 1
+
+
+def test_near_duplicates_against_all_pairs(docs, spark):
+    more = spark.createDataFrame([(10_000 + k, prose(100, 9) + " " + prose(4, k)) for k in range(30)] + [(20_000, "one two"), (20_001, "One  two"), (20_002, "one three")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(more)
+    sets = {}
+    for i, t in texts_of(df).items():
+        w = t.lower().split()
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and find(a) != find(b):
+                m = (sets[a] & sets[b]).total()
+                if m and m >= 0.8 * (sets[a].total() + sets[b].total() - m):
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = by_id(neardup.classify(df))
+    assert {i: got[i]["class_id"] for i in ids} == {i: find(i) for i in ids}
+    kept = [r["doc_id"] for r in neardup.deduplicate(df).collect()]
+    assert sorted(kept) == sorted({find(i) for i in ids})
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    base = np.arange(600, dtype=np.uint64) * np.uint64(7919)
+    a = np.concatenate([base, base[:100]])
+    b = np.concatenate([base[150:], base[150:250]])
+    s = neardup.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 6000)
+    x, y = Counter(a.tolist()), Counter(b.tolist())
+    assert abs((s[0] == s[1]).mean() - (x & y).total() / (x | y).total()) < 0.03
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, k) for k in range(51, 90)] + [(7, 7)], "a long, b long")
+    assert {r["node"]: r["component"] for r in graph.components(edges).collect()} == {k: 1 for k in range(1, 31)} | {k: 50 for k in range(50, 90)}
+
+
+def test_quality_counts_and_verdict(docs, odd):
+    for df in (docs, odd):
+        got = by_id(quality.judge(df))
+        for i, t in texts_of(df).items():
+            w = t.encode()
+            w = [x.decode() for x in w.split()]
+            three = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+            hit = {k + d for k in range(len(w) - 2) if three[tuple(w[k : k + 3])] > 1 for d in range(3)}
+            lines = [x for x in t.split("\n") if x.encode().split()]
+            want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+            r = got[i]
+            assert tuple(r[c] for c in quality.COUNTS[:5]) == want
+            assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_quality_rejects_outliers_only(spark):
+    rows = [(k, prose(200, k), "en", "s") for k in range(200)] + [(1000 + k, " ".join(w + "###" for w in prose(200, k).split()), "en", "s") for k in range(10)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(got[k]["kept"] == (k < 1000) for k in got)
+
+
+def test_language_on_held_out_rows(docs):
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = langid.identify(docs).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+
+
+def test_language_of_nothing(spark, docs):
+    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(-1, None, "en"), (-2, "12 !", "en"), (-3, "", "en")], "doc_id long, text string, lang string"))
+    got = by_id(langid.identify(df))
+    assert [(got[-k]["lang_pred"], got[-k]["score"]) for k in (1, 2, 3)] == [("und", 0.0)] * 3
+
+
+def test_secret_base_is_the_patterns_and_links(spark):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    rng = random.Random(4)
+    samples = ["".join(rng.choices(["token", "=", ":", " ", "'", "AKIA", "ABCDEFGH2345", "abcdef0123456789", "zz", "PassWord", "\n"], k=12)) for _ in range(300)]
+    order = {k: n for n, k in enumerate(secrets.KINDS)}
+    for t in samples:
+        want = [(m.start(), m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+        want += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert secrets.base_spans(t) == sorted(want, key=lambda x: (x[0], order[x[2]])), t
+    weak = "user = alice99 and key Zk3vQ9xT7bLm2PqR8sYw end"
+    df = spark.createDataFrame([(1, weak), (2, "key Zk3vQ9xT7bLm2PqR8sYw end"), (3, "user = alice99\n\nkey Zk3vQ9xT7bLm2PqR8sYw"), (4, "user = alice99 " + "a " * 400 + "Zk3vQ9xT7bLm2PqR8sYw")], "doc_id long, text string")
+    got = by_id(secrets.scan(df))
+    assert got[1]["spans"] == "identifier:7:14,secret:23:43" and {got[k]["spans"] for k in (2, 3, 4)} == {""}
+
+
+def test_decontamination_against_sql(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op10_decontamination"]).fetchall()
+    assert sorted(map(tuple, decontam.leaks(docs, items).collect())) == sorted(want)
+    short = spark.createDataFrame([(1, prose(7, 1)), (2, None), (3, "one two three"), (4, prose(300, 3)), (None, prose(120, 1))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(odd, short).collect()}
+    assert got == {(i, k) for i in (4, 6) for k in (None,)} | {(8, 4)} | ({(4, 1), (6, 1)} if prose(7, 1) in prose(120, 1) else set())
+    left = Counter(r["doc_id"] for r in decontam.decontaminate(odd, short).collect())
+    assert left == Counter(r[0] for r in ODD if r[0] not in (4, 6, 8))
+    assert decontam.leaks(odd, short.limit(0)).count() == 0 and decontam.leaks(odd.limit(0), short).count() == 0
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        assert 0 < after.count() <= docs.count()
+    out = corpus_pipeline.run(spark, SF)
+    assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
+    assert decontam.leaks(out.select("doc_id").join(docs, "doc_id"), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
