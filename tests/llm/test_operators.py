@@ -207,6 +207,26 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - (x & y).total() / (x | y).total()) < 0.03
 
 
+@pytest.mark.parametrize("n", [3, 150, 500, 900, 5000])
+def test_parity_sketches_never_rule_out_a_link(n):
+    rng = np.random.default_rng(n)
+    base = [f"w{i}" for i in rng.integers(0, 3000, n)]
+
+    def sketched(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        doc, region = neardup.units(*neardup._lower_shingles(data, np.array([0, len(data)])))
+        level = neardup.levels_of(np.array([len(region)]))
+        return np.sort(region), int(level[0]), neardup.parities(doc, region, level)[0].view(np.uint64)
+
+    a, level, sketch = sketched(base)
+    for edits in range(0, max(2, n // 30), max(1, n // 200)):
+        edited = set(rng.choice(n, edits, replace=False).tolist())
+        b, other, changed = sketched([f"x{i}" if i in edited else w for i, w in enumerate(base)])
+        if level == other and neardup.similarity(a, b) >= neardup.SIMILARITY:
+            most = (len(a) + len(b)) / 9 / 2**level
+            assert sum(int(x).bit_count() for x in sketch ^ changed) <= most + (neardup.DEVIATIONS * most**0.5 if level else 0)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, k) for k in range(51, 90)] + [(7, 7)], "a long, b long")
     assert {r["node"]: r["component"] for r in graph.components(edges).collect()} == {k: 1 for k in range(1, 31)} | {k: 50 for k in range(50, 90)}
