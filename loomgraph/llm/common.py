@@ -7,6 +7,7 @@ longest single one).
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps; it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bounds the rows in an Arrow batch; texts may be long."""
     conf = df.sparkSession.conf
