@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch, and bytes of text that numpy takes at a time.
 BATCH_ROWS = 2000
 SLICE_BYTES = 1 << 21
+#: Narrow rows in a task of steps whose size is known.
+TASK_ROWS = 20_000
 
 #: True for the bytes of [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -34,6 +36,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many tasks as its rows ask for, at most as many as it has. rows: an upper bound on its number of rows."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bounds the rows in an Arrow batch; texts may be long."""
     conf = df.sparkSession.conf
