@@ -20,6 +20,7 @@ BATCH_ROWS = 2000
 SLICE_BYTES = 1 << 21
 #: Narrow rows in a task of steps whose size is known.
 TASK_ROWS = 20_000
+LEAST_TASKS = 8
 
 #: True for the bytes of [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -38,7 +39,15 @@ def release(spark: SparkSession) -> None:
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:
     """df in as many tasks as its rows ask for, at most as many as it has. rows: an upper bound on its number of rows."""
-    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df, a join, in no more tasks than a shuffle makes: splits of large partitions are dealt evenly to them.
+
+    Python's start is paid for once a task, and splits may be many more than the partitions.
+    """
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
