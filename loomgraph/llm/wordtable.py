@@ -62,12 +62,12 @@ def resolve(
     term_sql: Callable[[Column], Column],
     missing: float,
     extra: tuple[tuple[str, str], ...] = (),
-    extras: Callable[[list[bytes]], list[list]] | None = None,
+    extras: Callable[..., list[list]] | None = None,
 ) -> DataFrame:
     """Per row of texts: doc_id, n_words, n_known, total, and the extra columns (doubles or longs by their types).
 
     total is the sum over the words of term(value of the word), or of missing for words that the table lacks. extras
-    gives further columns from a list of texts. term and term_sql say the same in Python and in SQL.
+    gives further columns from a list of texts and the columns of texts behind text. term and term_sql say the same in Python and in SQL.
     """
     dictionary = texts.sparkSession.sparkContext.broadcast({w: term(v) for w, v in head(counts, value).items()})
     names = ["word", "doc_id", "rid", "n", "words", "known", "total", *(x for x, _ in extra)]
@@ -78,7 +78,7 @@ def resolve(
         known = dictionary.value
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            more = extras(raw) if extras else []
+            more = extras(raw, *batch.columns[2:]) if extras else []
             rids = row_hash(ids, raw)
             out: list[list] = [[] for _ in range(4)]
             sums: list[list] = [[] for _ in range(3)]

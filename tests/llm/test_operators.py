@@ -308,3 +308,13 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
     assert decontam.leaks(out.select("doc_id").join(docs, "doc_id"), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+def test_lm_counts_are_those_of_the_encoded_texts(spark):
+    texts = ["One line\n\nTwo  words\n\tthree", "\n\nOne", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shipped = bpe._shipped(df, None, None)
+    library = bpe._encoding(*shipped.value)
+    got = lmscore.subword_counts(lmscore.encoded(lmscore.doc_text(df), shipped), library.n_vocab + 1)
+    want = Counter(i for t in texts for i in [*library.encode_ordinary((t or "").lower()), library.n_vocab])
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
