@@ -53,6 +53,10 @@ def head(counts: DataFrame, value: str) -> dict[bytes, float]:
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() for t in column]
+
+
 def resolve(
     texts: DataFrame,
     split: Callable[[bytes], list[bytes]],
@@ -63,11 +67,12 @@ def resolve(
     missing: float,
     extra: tuple[tuple[str, str], ...] = (),
     extras: Callable[..., list[list]] | None = None,
+    read: Callable[[pa.Array], list[bytes]] = _bytes,
 ) -> DataFrame:
     """Per row of texts: doc_id, n_words, n_known, total, and the extra columns (doubles or longs by their types).
 
     total is the sum over the words of term(value of the word), or of missing for words that the table lacks. extras
-    gives further columns from a list of texts and the columns of texts behind text. term and term_sql say the same in Python and in SQL.
+    gives further columns from a list of texts; with a read, which makes texts of another second column, from that. term and term_sql say the same in Python and in SQL.
     """
     dictionary = texts.sparkSession.sparkContext.broadcast({w: term(v) for w, v in head(counts, value).items()})
     names = ["word", "doc_id", "rid", "n", "words", "known", "total", *(x for x, _ in extra)]
@@ -77,8 +82,8 @@ def resolve(
     def run(batches):
         known = dictionary.value
         for batch in batches:
-            ids, raw = batch.column(0).to_pylist(), [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            more = extras(raw, *batch.columns[2:]) if extras else []
+            ids, raw = batch.column(0).to_pylist(), read(batch.column(1))
+            more = extras(batch.column(1) if read is not _bytes else raw) if extras else []
             rids = row_hash(ids, raw)
             out: list[list] = [[] for _ in range(4)]
             sums: list[list] = [[] for _ in range(3)]

@@ -318,3 +318,20 @@ def test_lm_counts_are_those_of_the_encoded_texts(spark):
     got = lmscore.subword_counts(lmscore.encoded(lmscore.doc_text(df), shipped), library.n_vocab + 1)
     want = Counter(i for t in texts for i in [*library.encode_ordinary((t or "").lower()), library.n_vocab])
     assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+
+
+def test_attention_learns_from_the_ends_of_long_texts(spark):
+    # ids 1 and 2 take turns only behind the first 600 ids; how the rows are partitioned does not matter
+    rng = np.random.default_rng(5)
+    noise, turns = rng.integers(3, 60, 700), np.tile([1, 2], 500)
+    counts = np.bincount(np.concatenate([turns, noise]), minlength=68).astype(float)
+    probe = np.append(turns[:100], 67)
+
+    def learnt(texts):
+        rows = [(i, np.append(t, 67).astype(np.int32).tobytes(), len(t) + 1) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, ids binary, n_ids long")
+        return [attention.AttentionLM(counts).learn(df.repartition(n)).score(probe, np.array([101]))[0] for n in (1, 3)]
+
+    whole, other_parts = learnt([np.concatenate([noise, turns])] * 60)
+    cut, _ = learnt([noise[:600]] * 60)
+    assert whole > cut + 30 and math.isclose(whole, other_parts, rel_tol=1e-5)
