@@ -1,8 +1,9 @@
 """Licence scans by a positional index of rare licence words.
 
 Templates are short standard notices. Their words form a vocabulary of fixed size; each word's inverse document
-frequency comes from all files. A file's highest-IDF licence words (those in at most RARE_SHARE of the files, or else its
-FALLBACK rarest ones) are looked up in the templates' postings; occurrences that agree on a template and its relative
+frequency comes from all files. In a file, each template's highest-IDF words that stand there are
+looked up in its postings, whatever other words or templates the file has: so many that two of them at least are in place
+wherever a share of MIN_COVER is; occurrences that agree on its relative
 position, within SLACK words for insertions, seed a match. A template counts where enough of its words stand in place and
 one of its mandatory key phrases stands there in full.
 
@@ -50,8 +51,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
 
-RARE_SHARE = 0.05
-FALLBACK = 4
 SLACK = 4
 MIN_COVER = 0.6
 
@@ -75,6 +74,7 @@ class Index:
     def __init__(self, templates=TEMPLATES):
         self.labels = [t[0] for t in templates]
         self.texts = [hashes_of(t[1]) for t in templates]
+        self.distinct = [set(text.tolist()) for text in self.texts]
         self.keys = [[hashes_of(k) for k in t[2]] for t in templates]
         self.base = [(hashes_of(p), label) for p, label in BASE]
         self.vocabulary = np.unique(np.concatenate([*self.texts, *(p for p, _ in self.base)]))
@@ -83,6 +83,15 @@ class Index:
             for q, h in enumerate(text.tolist()):
                 self.postings.setdefault(h, []).append((t, q))
 
+    def searched(self, here: set[int], idf: dict[int, float]) -> dict[int, list[tuple[int, int]]]:
+        """Word -> postings of the templates that it is one of the highest-IDF words of, among the words here."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for t, words in enumerate(self.distinct):
+            k = int(len(self.texts[t]) * (1 - MIN_COVER)) + 2
+            for h in sorted(words & here, key=lambda h: (-idf.get(h, 0.0), h))[:k]:
+                out.setdefault(h, []).extend(x for x in self.postings[h] if x[0] == t)
+        return out
+
 
 def lowered(column: pa.Array):
     """(first row, last row, word hashes, first words) of the lower-cased texts."""
@@ -129,16 +138,15 @@ def phrase_at(hashes: np.ndarray, phrase: np.ndarray, lo: int, hi: int) -> np.nd
     return at
 
 
-def match(index: Index, hashes: np.ndarray, places: np.ndarray, rare: set[int], lo: int, hi: int) -> list[tuple[str, float]]:
+def match(index: Index, hashes: np.ndarray, places: np.ndarray, searched: dict[int, list[tuple[int, int]]], lo: int, hi: int) -> list[tuple[str, float]]:
     """(label, share of the template's words in place) of the templates found among the words lo to hi.
 
-    places: where vocabulary words stand; rare: the words that are looked up.
+    places: where vocabulary words stand; searched: the postings of the words that are looked up.
     """
     votes: dict[tuple[int, int], int] = {}
     for p in places.tolist():
-        if (h := int(hashes[p])) in rare:
-            for t, q in index.postings.get(h, ()):
-                votes[t, p - q] = votes.get((t, p - q), 0) + 1
+        for t, q in searched.get(int(hashes[p]), ()):
+            votes[t, p - q] = votes.get((t, p - q), 0) + 1
     best: dict[int, float] = {}
     for (t, offset), n in votes.items():
         text = index.texts[t]
@@ -162,7 +170,6 @@ def scan(docs: DataFrame) -> DataFrame:
     texts, index = doc_text(docs), Index()
     files, frequency = file_frequencies(texts, index)
     idf = {h: math.log((files + 1) / (n + 1)) for h, n in frequency.items()}
-    least = math.log((files + 1) / (RARE_SHARE * files + 1))
 
     def run(batches):
         for batch in batches:
@@ -183,8 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
                                 base.append(start - lo)
                                 base_labels.add(label)
                         here = {int(h) for h in np.unique(hashes[places])}
-                        rare = {h for h in here if idf.get(h, 0.0) >= least} or set(sorted(here, key=lambda h: (-idf.get(h, 0.0), h))[:FALLBACK])
-                        found = match(index, hashes, places, rare, lo, hi)
+                        found = match(index, hashes, places, index.searched(here, idf), lo, hi)
                     starts = np.concatenate(base) if base else None
                     labels = base_labels | {label for label, _ in found}
                     score = 1.0 if base else max([0.0, *(c for _, c in found)])

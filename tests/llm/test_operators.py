@@ -335,3 +335,10 @@ def test_attention_learns_from_the_ends_of_long_texts(spark):
     whole, other_parts = learnt([np.concatenate([noise, turns])] * 60)
     cut, _ = learnt([noise[:600]] * 60)
     assert whole > cut + 30 and math.isclose(whole, other_parts, rel_tol=1e-5)
+
+
+def test_license_found_beside_a_stray_rare_word(spark):
+    notice = licenses.TEMPLATES[5][1]
+    texts = [prose(80, i) + (" " + notice if i % 3 == 0 else "") for i in range(60)] + [f"unencumbered {prose(40, 99)} {notice} nc sa"]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [i for i in range(61) if "mit" in got[i]["labels"].split(",")] == [i for i in range(60) if i % 3 == 0] + [60]
