@@ -34,9 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_IDENTIFIER = re.compile(r"""\b(?i:client_?id|access_?key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.ASCII)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=.-])")
-_ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,256}""", re.ASCII)
+_IDENTIFIER = re.compile(r"""(?i:client_?id|access_?key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-]|\.+[A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}""", re.ASCII)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
