@@ -103,11 +103,12 @@ class ByteCNN:
             out[w] = pairs
         return out
 
-    def responses(self, data: np.ndarray, starts: np.ndarray, tables) -> np.ndarray:
-        """Filter maxima (windows, all filters) of the windows that begin at starts and end where the next begins.
+    def responses(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, tables) -> np.ndarray:
+        """Filter maxima (windows, all filters) over the places from starts to before stops; none of these is empty.
 
-        data has at least max(WIDTHS) bytes behind the last window's last byte; windows overlap the next by a filter.
+        data has at least max(WIDTHS) bytes behind the last stop; a filter reads up to its width from each place.
         """
+        edges = np.stack([starts, stops], 1).ravel()
         pair = (data[:-1].astype(np.uint32) << 8) | data[1:]
         out = []
         for w in WIDTHS:
@@ -115,7 +116,7 @@ class ByteCNN:
             r = tables[w][0][pair[:n]]
             for k in range(1, w // 2):
                 r += tables[w][k][pair[2 * k : 2 * k + n]]
-            out.append(np.maximum(np.maximum.reduceat(r, starts, axis=0) + self.p[f"b{w}"], 0))
+            out.append(np.maximum(np.maximum.reduceat(r, edges, axis=0)[::2] + self.p[f"b{w}"], 0))
         return np.concatenate(out, 1)
 
     def scores(self, h: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tupl
     # a bound on the hash that leaves about twice the rows, from counts alone
     counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
-    near = keyed.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
+    near = keyed.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
     w = Window.partitionBy("lang").orderBy("h", "text")
     got = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows).select("lang", "text").orderBy("lang", "k").collect()
     return [(r["lang"], r["text"].encode()) for r in got]
@@ -168,8 +169,12 @@ def _document_scores(model: ByteCNN, tables, data: np.ndarray, offsets: np.ndarr
     out = np.zeros((len(lengths), len(model.languages)))
     if not len(doc):
         return out
-    padded = np.concatenate([data, np.full(8, 32, np.uint8)])
-    q = model.scores(model.responses(padded, start, tables))
+    # blanks behind each document, as training has behind short windows, so that no filter reads the next document
+    room = 2 * max(WIDTHS)
+    padded = np.full(len(data) + room * len(lengths), 32, np.uint8)
+    padded[np.arange(len(data)) + room * np.repeat(np.arange(len(lengths)), lengths)] = data
+    stop = np.minimum(start + WINDOW, offsets[1:][doc] + max(WIDTHS))
+    q = model.scores(model.responses(padded, start + room * doc, stop + room * doc, tables))
     weight = np.minimum(WINDOW, offsets[1:][doc] - start)
     np.add.at(out, doc, q * weight[:, None])
     return out / np.maximum(lengths, 1)[:, None]

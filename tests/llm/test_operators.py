@@ -353,3 +353,10 @@ def test_weak_secrets_in_assignments_sentences_and_long_ones(spark):
         at = texts[i].index(s)
         assert f"secret:{at}:{at + len(s)}" in got[i]["spans"].split(",")
     assert "identifier:8:13" in got[1]["spans"] and "identifier:10:90" in got[2]["spans"]
+
+
+def test_language_scores_do_not_depend_on_the_neighbours():
+    model = langid.ByteCNN(["a", "b", "c"])
+    texts = [b"short", b"x", b"", b"\xff\xfe\xfd\xfc" * 70, b"y" * 256, b"other text"]
+    score = lambda ts: langid._document_scores(model, model.tables(), np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))
+    assert np.allclose(score(texts), np.concatenate([score([t]) for t in texts])) and np.allclose(score(texts[::-1])[::-1], score(texts))
