@@ -2,7 +2,9 @@
 
 The rank file is a parameter; it is shipped to executors with the job, so that no path on them is assumed. Long texts
 are cut where the split pattern always ends a piece, and the parts are encoded one after another; ids and bytes are
-those of the whole text.
+those of the whole text. A run of white space of any length is one piece, but for its last character if more text
+follows; runs beyond LONG_RUN, on which the library's regex would exhaust its stack, are found by a scan and encoded as
+that piece.
 
 Nulls are empty texts. An empty text has no ids and decodes to no bytes. Repeated rows stay rows of their own. Other
 columns of the table don't matter to encode(), and decode() keeps none but doc_id.
@@ -26,6 +28,8 @@ from loomgraph.llm.common import doc_text, small_batches
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of text given to the library at a time.
 PART_CHARS = 1 << 18
+#: White space characters in a row that are taken out of what the library's regex sees.
+LONG_RUN = 1 << 14
 
 #: A single space before a letter, after a character that is neither white space nor an apostrophe: the pattern has
 #: only one white-space-led way on from here (" ?\p{L}+"), and nothing before it can reach over the space.
@@ -64,10 +68,18 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(encoding, text: str, size: int = PART_CHARS) -> np.ndarray:
-    if len(text) <= size:
+def encode_text(encoding, text: str, size: int = PART_CHARS, run: int = LONG_RUN) -> np.ndarray:
+    if len(text) <= min(size, run):
         return np.asarray(encoding.encode_ordinary(text), np.uint32)
-    return np.concatenate([np.asarray(encoding.encode_ordinary(x), np.uint32) for x in parts(text, size)])
+    out, at = [], 0
+    for m in regex.finditer(r"\p{White_Space}{%d,}+" % run, text):
+        # a last space belongs to the word behind it, and any other last character is a piece of its own
+        end = m.end() - (m.end() < len(text))
+        out += [encoding.encode_ordinary(x) for x in parts(text[at : m.start()], size)]
+        out.append(encoding._encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    out += [encoding.encode_ordinary(x) for x in parts(text[at:], size)]
+    return np.concatenate([np.asarray(x, np.uint32) for x in out])
 
 
 def _shipped(docs: DataFrame, ranks: str | None, pattern: str | None):
