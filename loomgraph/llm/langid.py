@@ -5,11 +5,14 @@ maximum in a window, and a softmax over those gives the window's languages; a do
 windows, weighted by their bytes. As a filter is linear in the bytes, its response is a sum of two-byte table entries, so
 that a window costs a few look-ups per filter and byte.
 
-The network learns from at most ROWS_PER_LANGUAGE labelled rows of each language, those with the smallest hashes of
-doc_id, and WINDOWS_PER_ROW windows of each, spread over the text. It is applied to every window of every text.
+The network learns from a bounded sample of labelled rows of each language: those with the smallest hashes of doc_id,
+at most ROWS_PER_LANGUAGE and at most LABELLED_ROWS over all languages (but at least one of each), and WINDOWS_PER_ROW
+windows of each, spread over the text and cut out before they come to the driver. Every language with a labelled row that
+has a text is learned. The network is applied to every window of every text.
 
 A null text, or one without a letter, is "und" with score 0. Without labelled rows every text is. Ties go to the language
-that sorts first. Repeated rows stay rows of their own; other columns are never read.
+that sorts first. Repeated rows stay rows of their own; other columns are never read. keep() drops rows that are "und" or
+score below a bound, and leaves all others as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ WIDTHS = (2, 4)
 FILTERS = 8
 EMBEDDING = 8
 ROWS_PER_LANGUAGE = 300
+LABELLED_ROWS = 20_000
 WINDOWS_PER_ROW = 4
 EPOCHS = 6
+#: keep() wants one language to get at least this share of a text.
+MIN_SCORE = 0.5
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -133,17 +139,28 @@ def windows(text: bytes, how_many: int) -> list[np.ndarray]:
     return [np.frombuffer(text[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW), np.uint8) for k in picks]
 
 
-def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """At most rows texts of each language outside the held-out fold, those with the smallest hash of doc_id."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out() & (F.length("text") >= 20))
+def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, total: int = LABELLED_ROWS) -> list[tuple[str, list[np.ndarray]]]:
+    """The windows of the labelled rows with the smallest hashes of doc_id outside the held-out fold.
+
+    Of each language at most rows, and over all languages about total, but one of each language at least.
+    """
+    known = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))) != ""))
     keyed = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
-    # a bound on the hash that leaves about twice the rows, from counts alone
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
-    near = keyed.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
+    # a bound on the hash that leaves about twice the rows, from counts alone; small languages keep all
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).withColumn("languages", F.count("*").over(Window.partitionBy(F.lit(0))))
+    each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(total) / F.col("languages")))).alias("each")
+    counts = counts.select("lang", each, F.least(F.lit(1.0), (2.0 * each + 20) / F.col("n")).alias("share"))
+    near = keyed.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     w = Window.partitionBy("lang").orderBy("h", "text")
-    got = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows).select("lang", "text").orderBy("lang", "k").collect()
-    return [(r["lang"], r["text"].encode()) for r in got]
+    picked = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("each")).select("lang", "k", "text")
+
+    def run(batches):
+        for batch in batches:
+            cut = [b"".join(x.tobytes() for x in windows(t.as_buffer().to_pybytes(), WINDOWS_PER_ROW)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], ["lang", "k", "windows"])
+
+    got = small_batches(picked).mapInArrow(run, "lang string, k int, windows binary").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    return [(lang.as_py(), list(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, WINDOW))) for lang, x in zip(got["lang"], got["windows"], strict=True)]
 
 
 def held_out():
@@ -155,7 +172,8 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> ByteCNN | None:
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return None
-    cut = [(w, languages.index(lang)) for lang, text in sample for w in windows(text, WINDOWS_PER_ROW)]
+    place = {lang: k for k, lang in enumerate(languages)}
+    cut = [(w, place[lang]) for lang, many in sample for w in many]
     return ByteCNN(languages).train(np.stack([w for w, _ in cut]), np.array([y for _, y in cut]))
 
 
@@ -180,6 +198,27 @@ def _document_scores(model: ByteCNN, tables, data: np.ndarray, offsets: np.ndarr
     return out / np.maximum(lengths, 1)[:, None]
 
 
+def _predicted(net: ByteCNN | None, tables, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a column without nulls."""
+    data, offsets = buffer(column)
+    languages, scores = [], []
+    for i, j in slices(offsets, 1 << 19):
+        part = data[offsets[i] : offsets[j]]
+        inner = offsets[i : j + 1] - offsets[i]
+        q = _document_scores(net, tables, part, inner) if net else np.zeros((j - i, 1))
+        best = q.argmax(1)
+        raw = part.tobytes()
+        for k in range(j - i):
+            text = raw[inner[k] : inner[k + 1]]
+            if net and (text.upper() != text.lower() or _LETTER.search(text.decode())):
+                languages.append(net.languages[best[k]])
+                scores.append(float(min(1.0, q[k, best[k]])))
+            else:
+                languages.append(UNKNOWN)
+                scores.append(0.0)
+    return languages, scores
+
+
 def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -188,22 +227,7 @@ def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
         net = shipped.value
         tables = net.tables() if net else None
         for batch in batches:
-            data, offsets = buffer(batch.column(1))
-            languages, scores = [], []
-            for i, j in slices(offsets, 1 << 19):
-                part = data[offsets[i] : offsets[j]]
-                inner = offsets[i : j + 1] - offsets[i]
-                q = _document_scores(net, tables, part, inner) if net else np.zeros((j - i, 1))
-                best = q.argmax(1)
-                raw = part.tobytes()
-                for k in range(j - i):
-                    text = raw[inner[k] : inner[k + 1]]
-                    if net and (text.upper() != text.lower() or _LETTER.search(text.decode())):
-                        languages.append(net.languages[best[k]])
-                        scores.append(float(min(1.0, q[k, best[k]])))
-                    else:
-                        languages.append(UNKNOWN)
-                        scores.append(0.0)
+            languages, scores = _predicted(net, tables, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return small_batches(doc_text(docs, held_out().alias("held_out"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -211,3 +235,18 @@ def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
 
 def identify(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     return predict(docs, train(docs, rows))
+
+
+def keep(docs: DataFrame, least: float = MIN_SCORE, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """The rows whose predicted language is known and scores at least least, with all their columns, in one pass."""
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, rows))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        net = shipped.value
+        tables = net.tables() if net else None
+        for batch in batches:
+            languages, scores = _predicted(net, tables, batch.column(at).fill_null(""))
+            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(languages, scores, strict=True)], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)
