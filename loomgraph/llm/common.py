@@ -7,12 +7,11 @@ longest single one).
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch, and bytes of text that numpy takes at a time.
@@ -21,6 +20,10 @@ SLICE_BYTES = 1 << 21
 #: Narrow rows in a task of steps whose size is known.
 TASK_ROWS = 20_000
 LEAST_TASKS = 8
+#: Narrow rows (ids and hashes, some 100 bytes each in memory) that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: The name under which a row's identity travels.
+ROW = "row"
 
 #: True for the bytes of [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -31,10 +34,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps; it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def row_identity() -> Column:
+    """A hash of a row's id and text. Beside the id it tells rows apart that share an id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a stored table of narrow rows, marked for broadcast if it has at most so many; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def without_rows(docs: DataFrame, name: str, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs, whose column name holds row_identity(), without the rows of a stored table (doc_id, row)."""
+    ids = rows.select(F.col("doc_id").alias(f"{name}_id"), F.col(ROW).alias(f"{name}_row"))
+    return docs.join(few(ids), (docs[name] == F.col(f"{name}_row")) & docs["doc_id"].cast("long").eqNullSafe(F.col(f"{name}_id")), how)
+
+
+def with_rows(docs: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """docs with none but the rows of a stored table (doc_id, row)."""
+    return without_rows(docs, name, rows, "left_semi")
 
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:
@@ -58,7 +85,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def doc_text(docs: DataFrame, *more: str) -> DataFrame:
+def doc_text(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id (long), text (null: empty) and further columns; whatever else the table has stays behind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more))

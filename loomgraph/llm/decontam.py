@@ -11,8 +11,9 @@ verified on shingles, word for word: the share of the item's distinct shingles t
 The items' signatures are broadcast only where they are few (BROADCAST_ROWS); beyond that the join is a shuffle.
 
 Null texts are empty. A text of fewer than five words has one shingle of all its words; without words it has none, and
-matches nothing. Null ids are values like others. Rows with the same ids give one row, with the highest containment.
-Other columns don't matter.
+matches nothing. Null ids are values like others. Rows with the same ids give one row, with the highest containment; rows
+are told apart by id and text, so that decontaminate() takes out none but the rows that have an item. Other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import ROW, free_name, row_identity, with_rows, without_rows
 from loomgraph.plans.session import stored
 
 WIDTH = 5
@@ -28,6 +30,8 @@ RANGES_LOG2 = 6
 #: Ranges for items of fewer than 8 shingles, where one of few shingles must not be lost.
 SMALL_RANGES_LOG2 = 16
 BROADCAST_ROWS = 100_000
+#: Candidate items that one copy of a document's shingles is held against.
+ITEMS_EACH = 64
 #: The last class takes all larger items; they only meet smaller blocks than they could.
 LARGEST = 12
 
@@ -91,38 +95,49 @@ def item_signatures(items: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """doc_id, item_id of documents with a block that shares a signature entry with the item."""
+    """doc_id, row, item_id of documents (doc_id, row, text) with a block that shares a signature entry with the item."""
     classes = sorted(r["class"] for r in signatures.select("class").distinct().collect())
     if signatures.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         signatures = F.broadcast(signatures)
     if not classes:
-        return docs.select("doc_id").limit(0).crossJoin(signatures.select("item_id").limit(0))
+        return docs.select("doc_id", ROW).limit(0).crossJoin(signatures.select("item_id").limit(0))
     every = let(shingle_hashes(F.col("text")), lambda hs: F.array(*(F.struct(F.lit(c).alias("class"), document_signatures(hs, c).alias("entries")) for c in classes)))
-    sketched = docs.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.class", F.explode("x.entries").alias("h"))
-    return sketched.join(signatures, ["class", "h"]).select("doc_id", "item_id").distinct()
+    sketched = docs.select("doc_id", ROW, F.explode(every).alias("x")).select("doc_id", ROW, "x.class", F.explode("x.entries").alias("h"))
+    return sketched.join(signatures, ["class", "h"]).select("doc_id", ROW, "item_id").distinct()
 
 
-def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment of every document that contains an item."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, row, item_id, n_shared, n_shingles, containment of every row of docs that contains an item."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_identity().alias(ROW), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     found = stored(candidates(docs, stored(item_signatures(items), "signatures")), "candidates")
-    by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id")).alias("items")).withColumnRenamed("doc_id", "_doc")
-    suspects = docs.join(by_doc, docs["doc_id"].eqNullSafe(F.col("_doc")))
-    suspects = suspects.select("doc_id", shingle_texts(F.col("text")).alias("has"), "items")
-    pairs = suspects.select("doc_id", "has", F.explode("items").alias("x")).select("doc_id", "has", F.col("x.item_id").alias("_item"))
-    asked = items.select("item_id", shingle_texts(F.col("text")).alias("asks"))
-    both = pairs.join(asked, F.col("_item").eqNullSafe(F.col("item_id")))
-    shared = both.select("doc_id", "item_id", F.size(F.array_intersect("asks", "has")).cast("long").alias("n_shared"), F.size("asks").cast("long").alias("n_shingles"))
-    scored = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
+    asked = items.select(F.col("item_id").alias("_item"), shingle_texts(F.col("text")).alias("asks")).distinct()
+    pairs = found.join(asked, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", ROW, "item_id", "asks")
+    # a document's shingles are made once for each ITEMS_EACH of its candidates
+    sized = stored(found.groupBy("doc_id", ROW).agg(F.count("*").alias("n")), "suspects")
+    pairs = pairs.join(sized.select(F.col("doc_id").alias("_id"), F.col(ROW).alias("_row"), "n"), (F.col(ROW) == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    part = F.pmod(F.xxhash64("item_id", "asks"), F.ceil(F.col("n") / ITEMS_EACH)).alias("part")
+    asking = pairs.groupBy("_id", "_row", part).agg(F.collect_list(F.struct("item_id", "asks")).alias("items"))
+    suspects = with_rows(docs, ROW, sized).join(stored(asking, "asking"), (F.col(ROW) == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    each = let(shingle_texts(F.col("text")), lambda has: F.transform("items", lambda x: F.struct(
+        x["item_id"].alias("item_id"), F.size(F.array_intersect(x["asks"], has)).cast("long").alias("n_shared"), F.size(x["asks"]).cast("long").alias("n_shingles"))))
+    scored = suspects.select("doc_id", ROW, F.explode(each).alias("x")).select("doc_id", ROW, "x.*")
+    scored = scored.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
+    best = F.max(F.struct("containment", "n_shared", "n_shingles")).alias("x")
+    return scored.groupBy("doc_id", ROW, "item_id").agg(best).select("doc_id", ROW, "item_id", "x.n_shared", "x.n_shingles", "x.containment")
+
+
+def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment of every document that contains an item."""
     best = F.max(F.struct("containment", "n_shared", "n_shingles")).alias("x")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_shared", "x.n_shingles", "x.containment")
+    return contained(docs, items, containment).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_shared", "x.n_shingles", "x.containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    bad = stored(leaks(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows that contain no item, with all their columns."""
+    bad = stored(contained(docs, items).select("doc_id", ROW).distinct(), "contaminated")
+    name = free_name(docs, "row")
+    return without_rows(docs.withColumn(name, row_identity()), name, bad).drop(name)
 
 
 LEAKS_SQL = r"""
