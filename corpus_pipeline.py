@@ -7,7 +7,6 @@ documents. All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontam, langid, neardup, pii
 from loomgraph.llm.common import table
@@ -15,10 +14,8 @@ from loomgraph.plans.session import stored
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, for which no language can be said; all others keep their rows as they are."""
-    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = stored(found, "identified")
-    return docs.where(F.col("text").isNotNull()).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi").where(F.col("text").rlike(r"\p{L}"))
+    """Drops documents without a letter, and those of which the network gives no language the greater part."""
+    return langid.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
