@@ -23,7 +23,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import doc_text, slices, buffer, small_batches
+from loomgraph.llm.common import buffer, doc_text, few, slices, small_batches
+from loomgraph.plans.session import stored
 
 WINDOW = 256
 WIDTHS = (2, 4)
@@ -150,7 +151,7 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, total: int =
     counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).withColumn("languages", F.count("*").over(Window.partitionBy(F.lit(0))))
     each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(total) / F.col("languages")))).alias("each")
     counts = counts.select("lang", each, F.least(F.lit(1.0), (2.0 * each + 20) / F.col("n")).alias("share"))
-    near = keyed.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    near = keyed.join(few(stored(counts, "languages")), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     w = Window.partitionBy("lang").orderBy("h", "text")
     picked = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("each")).select("lang", "k", "text")
 
