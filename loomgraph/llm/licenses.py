@@ -1,11 +1,11 @@
 """Licence scans by a positional index of rare licence words.
 
 Templates are short standard notices. Their words form a vocabulary of fixed size; each word's inverse document
-frequency comes from all files. In a file, each template's highest-IDF words that stand there are
-looked up in its postings, whatever other words or templates the file has: so many that two of them at least are in place
-wherever a share of MIN_COVER is; occurrences that agree on its relative
-position, within SLACK words for insertions, seed a match. A template counts where enough of its words stand in place and
-one of its mandatory key phrases stands there in full.
+frequency comes from all files. In a file, each template's highest-IDF words that stand there are looked up in its
+postings, whatever other words or templates the file has: so many that two of them at least are in place wherever a share
+of MIN_COVER is; occurrences that agree on its relative position, within SLACK words for insertions, seed a match. A
+template counts where enough of its words stand in place and one of its mandatory key phrases stands there in full.
+Templates that cannot be in a file, as it lacks too many of their words or some word of each key phrase, aren't looked up.
 
 Beside that, base phrases give labels wherever their words stand consecutively.
 
@@ -77,16 +77,29 @@ class Index:
         self.distinct = [set(text.tolist()) for text in self.texts]
         self.keys = [[hashes_of(k) for k in t[2]] for t in templates]
         self.base = [(hashes_of(p), label) for p, label in BASE]
-        self.vocabulary = np.unique(np.concatenate([*self.texts, *(p for p, _ in self.base)]))
+        self.vocabulary = np.unique(np.concatenate([*self.texts, *(p for p, _ in self.base), *(k for x in self.keys for k in x)]))
+        place = lambda h: np.searchsorted(self.vocabulary, h)
+        #: How often each vocabulary word stands in each template, and the words of each key phrase.
+        self.uses = np.stack([np.bincount(place(text), minlength=len(self.vocabulary)) for text in self.texts], 1)
+        self.key_places = [[place(k) for k in x] for x in self.keys]
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, text in enumerate(self.texts):
             for q, h in enumerate(text.tolist()):
                 self.postings.setdefault(h, []).append((t, q))
 
-    def searched(self, here: set[int], idf: dict[int, float]) -> dict[int, list[tuple[int, int]]]:
-        """Word -> postings of the templates that it is one of the highest-IDF words of, among the words here."""
+    def possible(self, here: np.ndarray) -> np.ndarray:
+        """(documents, templates): whether a document with these vocabulary words (documents, vocabulary) may match."""
+        lengths = np.array([len(text) for text in self.texts])
+        out = here.astype(np.int32) @ self.uses >= MIN_COVER * lengths - 1e-9
+        for t, keys in enumerate(self.key_places):
+            out[:, t] &= np.any([here[:, k].all(1) for k in keys], axis=0)
+        return out
+
+    def searched(self, here: set[int], idf: dict[int, float], templates: list[int]) -> dict[int, list[tuple[int, int]]]:
+        """Word -> postings of those of the templates that it is one of the highest-IDF words of, among the words here."""
         out: dict[int, list[tuple[int, int]]] = {}
-        for t, words in enumerate(self.distinct):
+        for t in templates:
+            words = self.distinct[t]
             k = int(len(self.texts[t]) * (1 - MIN_COVER)) + 2
             for h in sorted(words & here, key=lambda h: (-idf.get(h, 0.0), h))[:k]:
                 out.setdefault(h, []).extend(x for x in self.postings[h] if x[0] == t)
@@ -165,6 +178,55 @@ def match(index: Index, hashes: np.ndarray, places: np.ndarray, searched: dict[i
     return [(index.labels[t], cover) for t, cover in best.items()]
 
 
+def base_places(index: Index, hashes: np.ndarray, hit: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and phrase number of every base phrase; hit: where vocabulary words stand."""
+    found = []
+    document = np.searchsorted(firsts, hit, "right") - 1
+    for number, (phrase, _) in enumerate(index.base):
+        at = np.flatnonzero(hashes[hit] == phrase[0])
+        start, doc = hit[at], document[at]
+        inside = start + len(phrase) <= firsts[doc + 1]
+        start, doc = start[inside], doc[inside]
+        for n in range(1, len(phrase)):
+            stay = hashes[start + n] == phrase[n]
+            start, doc = start[stay], doc[stay]
+        found.append((doc, start - firsts[doc], np.full(len(doc), number)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def scanned(index: Index, idf: dict[int, float], hashes: np.ndarray, firsts: np.ndarray) -> list[tuple]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score of each document."""
+    n, size = len(firsts) - 1, len(index.vocabulary)
+    hit = members(hashes, index.vocabulary)
+    document = np.searchsorted(firsts, hit, "right") - 1
+    here = np.zeros((n, size), bool)
+    here[document, np.searchsorted(index.vocabulary, hashes[hit])] = True
+    doc, word, phrase = base_places(index, hashes, hit, firsts)
+    count = np.bincount(doc, minlength=n)
+    least, most = np.full(n, len(hashes)), np.full(n, -1)
+    np.minimum.at(least, doc, word)
+    np.maximum.at(most, doc, word)
+    base: dict[int, set[str]] = {}
+    for d, k in zip(doc.tolist(), phrase.tolist(), strict=True):
+        base.setdefault(d, set()).add(index.base[k][1])
+    found: dict[int, list[tuple[str, float]]] = {}
+    possible = index.possible(here)
+    cut = np.searchsorted(hit, firsts)
+    for d in np.flatnonzero(possible.any(1)).tolist():
+        words_here = set(index.vocabulary[here[d]].tolist())
+        searched = index.searched(words_here, idf, np.flatnonzero(possible[d]).tolist())
+        places = hit[cut[d] : cut[d + 1]]
+        places = places[np.isin(hashes[places], np.array(list(searched), np.uint64))]
+        found[d] = match(index, hashes, places, searched, int(firsts[d]), int(firsts[d + 1]))
+    out = []
+    for d, length in enumerate(np.diff(firsts).tolist()):
+        plain, more = base.get(d, set()), found.get(d, [])
+        labels = ",".join(sorted(plain | {label for label, _ in more}))
+        span = (int(least[d]), int(most[d])) if count[d] else (None, None)
+        out.append((length, int(count[d]), *span, ",".join(sorted(plain)), labels, 1.0 if plain else max([0.0, *(c for _, c in more)])))
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
     texts, index = doc_text(docs), Index()
@@ -173,32 +235,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for _i, _j, hashes, firsts in lowered(batch.column(1)):
-                hit = members(hashes, index.vocabulary)
-                cut = np.searchsorted(hit, firsts)
-                for k in range(len(firsts) - 1):
-                    lo, hi, places = int(firsts[k]), int(firsts[k + 1]), hit[cut[k] : cut[k + 1]]
-                    base, base_labels, found = [], set(), []
-                    if len(places):
-                        for phrase, label in index.base:
-                            start = places[hashes[places] == phrase[0]]
-                            start = start[start + len(phrase) <= hi]
-                            for n in range(1, len(phrase)):
-                                start = start[hashes[start + n] == phrase[n]]
-                            if len(start):
-                                base.append(start - lo)
-                                base_labels.add(label)
-                        here = {int(h) for h in np.unique(hashes[places])}
-                        found = match(index, hashes, places, index.searched(here, idf), lo, hi)
-                    starts = np.concatenate(base) if base else None
-                    labels = base_labels | {label for label, _ in found}
-                    score = 1.0 if base else max([0.0, *(c for _, c in found)])
-                    for x, v in zip(rows, (hi - lo, 0 if starts is None else len(starts), None if starts is None else int(starts.min()), None if starts is None else int(starts.max()), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score), strict=True):
-                        x.append(v)
+            rows = [x for _, _, hashes, firsts in lowered(batch.column(1)) for x in scanned(index, idf, hashes, firsts)]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))],
+                [batch.column(0), *(pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds))],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
