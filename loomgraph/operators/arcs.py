@@ -9,19 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.kmers import arc_slot, canonical, is_canonical, oriented, reverse_complement
+from loomgraph.functions.kmers import arc_slot, canonical, oriented, reverse_complement
 
 SATURATION = 255
 
 
+#: Windows that are cut from one piece of a read.
+PIECE = 1024
+
+
 def windows(reads: DataFrame, size: int) -> DataFrame:
-    """w: every window of size bases of the reads that are long enough."""
-    at = F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1))
-    return reads.where(F.length("seq") >= size).select("seq", at.alias("i")).select(F.substring(F.col("seq"), F.col("i"), F.lit(size)).alias("w"))
+    """w binary: the larger strand of every window of size bases of the reads that are long enough.
+
+    Reads are cut into overlapping pieces first, and windows are cut from a piece's bytes and from those of its reverse
+    complement, so that the cost of a window does not depend on the length of its read and no window is complemented by
+    itself.
+    """
+    long_enough = reads.where(F.length("seq") >= size)
+    piece = F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1, F.lit(PIECE)))
+    pieces = long_enough.select("seq", piece.alias("at")).select(F.substring(F.col("seq"), F.col("at"), F.lit(PIECE + size - 1)).alias("s"))
+    strands = pieces.select(F.col("s").cast("binary").alias("f"), reverse_complement(F.col("s")).cast("binary").alias("r"), (F.length("s") - size).alias("last"))
+    at = strands.select("f", "r", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    forth, back = F.substring(F.col("f"), F.col("i") + 1, F.lit(size)), F.substring(F.col("r"), F.col("last") - F.col("i") + 1, F.lit(size))
+    return at.select(F.greatest(forth, back).alias("w"))
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    return windows(reads, k).select(canonical(F.col("w")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return windows(reads, k).groupBy("w").agg(F.count("*").alias("n")).select(F.col("w").cast("string").alias("kmer"), "n")
 
 
 def count_arcs(reads: DataFrame, k: int) -> DataFrame:
@@ -31,11 +45,17 @@ def count_arcs(reads: DataFrame, k: int) -> DataFrame:
     both of its arcs follow by projection: no two runs give the same arc. A run that is its own reverse complement is one arc,
     counted twice.
     """
-    runs = windows(reads, k + 1).select(canonical(F.col("w")).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    other = reverse_complement(F.col("e"))
-    both = runs.select(F.explode(F.when(F.col("e") == other, F.array(F.struct(F.col("e").alias("e"), (2 * F.col("n")).alias("n")))).otherwise(F.array(F.struct("e", "n"), F.struct(other.alias("e"), F.col("n"))))).alias("x")).select("x.*")
-    start = F.substring(F.col("e"), 1, k)
-    return both.select(canonical(start).alias("kmer"), arc_slot(F.right("e", F.lit(1)), is_canonical(start)).alias("arc_idx"), F.least("n", F.lit(SATURATION)).cast("long").alias("mult"))
+    runs = windows(reads, k + 1).groupBy("w").agg(F.count("*").alias("n")).select(F.col("w").cast("string").alias("e"), "n")
+    runs = runs.select("e", reverse_complement(F.col("e")).alias("o"), "n")
+    own = F.col("e") == F.col("o")
+
+    def arc(a: str, b: str) -> Column:
+        """The arc that leaves the first k bases of a; b is its reverse complement."""
+        start, other = F.substring(F.col(a), 1, k), F.substring(F.col(b), 2, k)
+        times = F.when(own, 2 * F.col("n")).otherwise(F.col("n"))
+        return F.struct(F.greatest(start, other).alias("kmer"), arc_slot(F.right(a, F.lit(1)), start >= other).alias("arc_idx"), F.least(times, F.lit(SATURATION)).cast("long").alias("mult"))
+
+    return runs.select(F.explode(F.when(own, F.array(arc("e", "o"))).otherwise(F.array(arc("e", "o"), arc("o", "e")))).alias("x")).select("x.*")
 
 
 def histogram(arcs0: DataFrame, n_kmers: DataFrame, spark) -> DataFrame:
@@ -128,5 +148,11 @@ def adjacency(arcs: DataFrame, k: int) -> DataFrame:
     return arcs.groupBy("src").agg(side(F.col("arc_idx") < 4).alias("right_next"), side(F.col("arc_idx") >= 4).alias("left_next"))
 
 
+def unique_sides(arcs: DataFrame) -> DataFrame:
+    """src, and for either side the string, multiplicity and neighbour of its arc, null unless there is just one."""
+    sides = {"right": F.col("arc_idx") < 4, "left": F.col("arc_idx") >= 4}
+    return arcs.groupBy("src").agg(*(F.when(F.count_if(at) == 1, F.max(F.when(at, F.col(c)))).alias(f"{side}_{c}") for side, at in sides.items() for c in ("seq", "mult", "dst")))
+
+
 def edge_list(arcs: DataFrame) -> DataFrame:
     return arcs.select("src", "arc_idx", "dst", "len", "mult")

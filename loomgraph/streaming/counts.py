@@ -11,7 +11,8 @@ from loomgraph.operators.arcs import SATURATION, windows
 
 def count_arcs(reads: DataFrame, k: int) -> DataFrame:
     """kmer, arc_idx, mult of a streaming (or batch) table of reads."""
-    both = windows(reads, k + 1).select(F.explode(F.array(F.col("w"), reverse_complement(F.col("w")))).alias("e"))
+    runs = windows(reads, k + 1).select(F.col("w").cast("string").alias("w"))
+    both = runs.select(F.explode(F.array(F.col("w"), reverse_complement(F.col("w")))).alias("e"))
     start = F.substring(F.col("e"), 1, k)
     arcs = both.select(canonical(start).alias("kmer"), arc_slot(F.right("e", F.lit(1)), is_canonical(start)).alias("arc_idx"))
     return arcs.groupBy("kmer", "arc_idx").agg(F.least(F.count("*"), F.lit(SATURATION)).cast("long").alias("mult"))
