@@ -2,19 +2,22 @@
 
 A node is passed through if it has one arc on each side and is no neighbour of itself. Every arc out of such a node has
 exactly one arc before it; pointers to those are doubled until they reach an arc out of a node that stays. What never does is
-a cycle: its largest k-mer stays, and its arcs are ranked again. Strings are joined once, at the end, so that the data stay
-linear. cov is summed exactly and mult is cov div len, so that an arc and its twin always agree.
+a cycle: its largest k-mer stays, and its arcs are ranked again. A round reads and writes the open arcs, and looks up those
+that are done; ids are longs. Strings are joined at the end, first in blocks of bases and then the blocks, so that the data
+stay linear and no row gathers more pieces than a block or a path of blocks has. cov is summed exactly and mult is cov div
+len, so that an arc and its twin always agree.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.kmers import oriented
-from loomgraph.plans.session import stored
+from loomgraph.functions.kmers import oriented, reverse_complement
+from loomgraph.plans.session import discard, stored
+
+#: Bases that are joined at a time.
+BLOCK = 4096
 
 
 def survivors(arcs: DataFrame) -> DataFrame:
@@ -23,48 +26,63 @@ def survivors(arcs: DataFrame) -> DataFrame:
     return node.where((F.col("r") != 1) | (F.col("l") != 1) | (F.col("own") > 0)).select("src")
 
 
-def _rank(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """id, head, dist of all that reach a head, and id, ptr, dist, top of what runs in circles.
+def _rank(heads: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """id, head, dist of all arcs that reach a head; id of those that run in circles; and the tables behind both.
 
-    todo: id, ptr (null at a head), dist (bases before), top (largest k-mer seen).
+    heads: id; links: id, ptr (the arc before), dist (the bases of that).
     """
-    state = stored(todo.withColumn("head", F.when(F.col("ptr").isNull(), F.col("id"))), "rank")
-    open_, before = state.where(F.col("ptr").isNotNull()).count(), -1
-    while open_ and open_ != before:
-        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("head").alias("_head"), F.col("top").alias("_top"))
-        moved = state.where(F.col("ptr").isNotNull()).join(ahead, "ptr").select(
-            "id", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.greatest("top", "_top").alias("top"), F.col("_head").alias("head")
-        )
-        state = stored(state.where(F.col("ptr").isNull()).unionByName(moved), "rank")
-        before, open_ = open_, state.where(F.col("ptr").isNotNull()).count()
-    return state.where(F.col("ptr").isNull()), state.where(F.col("ptr").isNotNull())
+    done = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("dist"))
+    open_ = stored(links, "links")
+    tables, n = [open_], open_.count()
+    while n:
+        ahead = done.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("next"), F.col("dist").alias("_d"), "head")
+        ahead = ahead.unionByName(open_.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("_d"), F.lit(None).cast("long").alias("head")))
+        moved = stored(open_.join(ahead, "ptr").select("id", "next", (F.col("dist") + F.col("_d")).alias("dist"), "head"), "rank")
+        tables.append(moved)
+        before, n = n, moved.where(F.col("head").isNull()).count()
+        if n == before:
+            break  # chains get shorter in every round, so only cycles are left
+        done = done.unionByName(moved.where(F.col("head").isNotNull()).select("id", "head", "dist"))
+        open_ = moved.where(F.col("head").isNull()).select("id", F.col("next").alias("ptr"), "dist")
+    return done, open_.select("id"), tables
+
+
+def _tops(rest: DataFrame) -> DataFrame:
+    """id, top: the largest k-mer of the cycle of each arc. rest: id, ptr, src."""
+    state = stored(rest.select("id", "ptr", F.col("src").alias("top")), "cycle")
+    while True:
+        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"))
+        moved = state.join(ahead, "ptr").select("id", F.col("_ptr").alias("ptr"), F.greatest("top", "_top").alias("top"), (F.col("_top") > F.col("top")).alias("grew"))
+        after = stored(moved, "cycle")
+        discard(state)
+        state = after
+        if state.where("grew").isEmpty():
+            return state.select("id", "top")
+
+
+def _joined(order: str, string: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, string))), lambda x: x[string]), "").alias("seq")
 
 
 def compact(arcs: DataFrame, k: int) -> DataFrame:
     """arcs between the nodes that stay, each following a whole path."""
-    arcs = stored(arcs, "arcs")
+    arcs = stored(arcs.withColumn("id", F.monotonically_increasing_id()), "arcs")
     stays = survivors(arcs).withColumn("stays", F.lit(True))
-    named = arcs.withColumn("id", F.concat_ws("/", "src", F.col("arc_idx").cast("string"))).join(stays, "src", "left")
-    named = stored(named.withColumn("os", oriented(F.col("src"), F.col("arc_idx"))).withColumn("od", F.when(F.col("dst_pos"), F.col("dst")).otherwise(F.translate(F.reverse("dst"), "ACGT", "TGCA"))), "named")
+    end = F.when(F.col("dst_pos"), F.col("dst")).otherwise(reverse_complement(F.col("dst")))
+    named = stored(arcs.join(stays, "src", "left").withColumns({"os": oriented(F.col("src"), F.col("arc_idx")), "od": end}), "named")
     into = named.select(F.col("od").alias("os"), F.col("id").alias("ptr"), F.col("len").alias("dist"))
-    passed = named.where(F.col("stays").isNull()).join(into, "os").select("id", "ptr", "dist", F.col("src").alias("top"))
-    heads = named.where(F.col("stays")).select("id", F.lit(None).cast("string").alias("ptr"), F.lit(0).cast("long").alias("dist"), F.col("src").alias("top"))
-    ranked, cycles = _rank(heads.unionByName(passed))
-    n = cycles.count()
-    if n:
-        # the largest k-mer of each cycle: pointers among the rest, doubled until they have been all around
-        rest = passed.join(cycles.select("id"), "id")
-        state = rest.select("id", "ptr", "top")
-        for _ in range(max(1, math.ceil(math.log2(n)))):
-            ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"))
-            state = stored(state.join(ahead, "ptr").select("id", F.col("_ptr").alias("ptr"), F.greatest("top", "_top").alias("top")), "cycle")
-        again = rest.drop("top").join(state.select("id", "top"), "id").withColumn("src", F.substring_index("id", "/", 1))
+    passed = named.where(F.col("stays").isNull()).select("id", "os").join(into, "os").select("id", "ptr", "dist")
+    ranked, cycles, tables = _rank(named.where(F.col("stays")).select("id"), passed)
+    if not cycles.isEmpty():
+        rest = tables[0].join(cycles, "id").join(named.select("id", "src"), "id")
+        again = stored(rest.join(_tops(rest), "id"), "cycles")
         start = F.col("src") == F.col("top")
-        again = again.select("id", F.when(~start, F.col("ptr")).alias("ptr"), F.when(start, 0).otherwise(F.col("dist")).cast("long").alias("dist"), "top")
-        ranked = ranked.unionByName(_rank(again)[0])
-    parts = named.join(ranked.select("id", "head", "dist"), "id")
-    paths = parts.groupBy("head").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", "seq"))), lambda x: x["seq"]), "").alias("seq"),
-        F.sum("len").alias("len"), F.sum("cov").alias("cov"), F.max_by(F.struct("dst", "dst_pos"), "dist").alias("end"),
-    )
-    return paths.select(F.substring_index("head", "/", 1).alias("src"), F.substring_index("head", "/", -1).cast("int").alias("arc_idx"), "seq", "len", "cov", F.expr("cov div len").alias("mult"), "end.dst", "end.dst_pos")
+        more, _, others = _rank(again.where(start).select("id"), again.where(~start).select("id", "ptr", "dist"))
+        ranked, tables = ranked.unionByName(more), [*tables, *others, again]
+    ranked = stored(ranked, "ranked")
+    discard(*tables)
+    parts = named.join(ranked, "id")
+    sums = [F.sum("len").alias("len"), F.sum("cov").alias("cov")]
+    blocks = parts.groupBy("head", F.floor(F.col("dist") / BLOCK).alias("block")).agg(_joined("dist", "seq"), *sums, F.max_by(F.struct("dst", "dst_pos"), "dist").alias("end"), F.min_by(F.struct("src", "arc_idx"), "dist").alias("start"))
+    paths = blocks.groupBy("head").agg(_joined("block", "seq"), *sums, F.max_by("end", "block").alias("end"), F.min_by("start", "block").alias("start"))
+    return paths.select("start.src", "start.arc_idx", "seq", "len", "cov", F.expr("cov div len").alias("mult"), "end.dst", "end.dst_pos")
