@@ -46,7 +46,8 @@ def sanitized(seq: Column) -> Column:
 
 
 def encode(kmer: Column) -> Column:
-    """Two bits a base, first base highest, for k up to 31."""
+    """Two bits a base, first base highest; null for k over 31, which does not fit a long."""
+    kmer = F.when(F.length(kmer) <= 31, kmer)
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
@@ -55,7 +56,12 @@ def decode(number: Column, k: int) -> Column:
 
 
 def partition_hash(kmer: Column) -> Column:
-    """Base-19 polynomial over the bytes of the smaller strand, modulo 2^32; the same for both strands."""
+    """Base-19 polynomial over the bytes of the smaller strand, modulo 2^32; the same for both strands.
+
+    The strand is packed at two bits a base, first base highest, and its bytes are taken from the lowest on.
+    """
     small = F.least(kmer, reverse_complement(kmer))
-    digits = F.transform(F.split(small, ""), lambda c: F.ascii(c).cast("long"))
+    n = F.ceil(F.length(small) / 4).cast("int")
+    padded = F.lpad(small, n * 4, F.lit("A"))
+    digits = F.transform(F.sequence(n - 1, F.lit(0)), lambda b: encode(F.substring(padded, b * 4 + 1, F.lit(4))))
     return F.aggregate(digits, F.lit(0).cast("long"), lambda a, c: (a * 19 + c) % (1 << 32))

@@ -1,7 +1,8 @@
 """Error removal: tips, weak arcs, loops, parallel arcs and cross edges.
 
 Each step works on a snapshot of the arcs and edits an arc and its twin together. Where motifs share a node, the one with
-the highest multiplicity (then the smallest node) goes first and the others wait for a later round. An arc that grows keeps
+the highest multiplicity (then the smallest node) goes first and the others wait for a later sweep; until_stable() makes
+sweeps until there is nothing left to do. An arc that grows keeps
 its multiplicity unless said otherwise, and its coverage becomes multiplicity times length.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.kmers import oriented, reverse_complement
+from loomgraph.functions.kmers import oriented
 from loomgraph.operators.arcs import coverage, twins, with_ends
 from loomgraph.plans.session import stored
 
@@ -41,6 +42,17 @@ def first_only(motifs: DataFrame) -> DataFrame:
     return motifs.join(losers, "motif", "left_anti")
 
 
+def until_stable(step, arcs: DataFrame, k: int) -> DataFrame:
+    """A stored table of arcs after so many sweeps of a step that edits at least two arcs into one, or removes some."""
+    n = arcs.count()
+    while True:
+        after = stored(step(arcs, k), "sweep")
+        m = after.count()
+        if m == n:
+            return after
+        arcs, n = after, m
+
+
 def remove_tips(arcs: DataFrame, k: int) -> DataFrame:
     """A node whose only arc is shorter than k goes, with the arc and its twin; its own neighbour stays."""
     only = arcs.groupBy("src").agg(F.count("*").alias("n"), F.first("arc_idx").alias("arc_idx"), F.first("len").alias("len"), F.first("dst").alias("dst"))
@@ -95,10 +107,6 @@ def pop_bubbles(arcs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return _without(arcs, _and_twins(arcs, found, k)), found.select("seq")
 
 
-def _full(x: str) -> list[Column]:
-    return [F.col(f"{x}.{c}").alias(c) for c in ("seq", "len", "cov", "mult")]
-
-
 def linearise_repeats(arcs: DataFrame, k: int) -> DataFrame:
     """X - Y - X walks: where i and j leave X on both sides for one Y, the walk that enters by o passes Y once on its way.
 
@@ -133,7 +141,8 @@ def unroll_loops(arcs: DataFrame, k: int) -> DataFrame:
     """Repeats that a walk passes twice, and hairpins.
 
     A node with a loop and its twin, and one or two further arcs (not both on one side): the first further arc, o, is reached
-    through the loop once; the loop's two slots become that walk. A hairpin that is weaker than half of a further arc and
+    through the loop once; the loop's two slots become that walk. So it is with a hairpin that has both of two further arcs
+    opposite to it: the walk between those turns round in it. A hairpin that is weaker than half of a further arc and
     shorter than 5 goes, if the two further arcs are on opposite sides; one at the end of a path is folded into it.
     Coverages add up.
     """
@@ -146,6 +155,8 @@ def unroll_loops(arcs: DataFrame, k: int) -> DataFrame:
     two = two.where((F.size(ahead) == 1) & (F.size(back) == 1)).select("src", o.alias("o"), F.get(ahead, F.lit(0)).alias("p"), F.get(back, F.lit(0)).alias("q"))
     one = shape.where(F.size("loops") == 1)
     hairpin = F.get("loops", F.lit(0))
+    turn = one.where((F.size("outs") == 2) & (_side(o) == _side(F.get("outs", F.lit(1)))) & (_side(o) != _side(hairpin))).select("src", o.alias("o"), hairpin.alias("p"), hairpin.alias("q"))
+    two = two.unionByName(turn)
     fold = one.where((F.size("outs") == 1) & (_side(o) != _side(hairpin))).select("src", o.alias("o"), hairpin.alias("p"), F.lit(None).cast(arcs_struct(arcs)).alias("q"))
     motifs = stored(_joined_twins(arcs, two.withColumn("kind", F.lit("loop")).unionByName(fold.withColumn("kind", F.lit("fold"))), ("o",), k).select(F.col("src").alias("motif"), F.col("p.mult").alias("weight"), F.array("src", "o.dst").alias("nodes"), "src", "kind", "o", "p", "q", "to"), "loops")
     m = first_only(motifs)
@@ -194,7 +205,3 @@ def resolve_cross_edges(arcs: DataFrame, k: int) -> DataFrame:
         grown = there.union(back) if grown is None else grown.union(there).union(back)
     nodes = m.select("src").union(m.select("y"))
     return _edited(arcs.join(nodes, "src", "left_anti"), grown.select("src", "arc_idx"), grown, k)
-
-
-def removed_sequence(seq: Column) -> Column:
-    return F.greatest(seq, reverse_complement(seq))

@@ -22,6 +22,11 @@ def contigs(arcs: DataFrame, k: int, least: int = 100) -> DataFrame:
     return kept.select(name.alias("name"), "src", "arc_idx", F.col("s").alias("seq"), F.length("s").cast("long").alias("len"), "mult")
 
 
+def longest_first(contigs_: DataFrame) -> DataFrame:
+    """Contigs by falling length, then by sequence."""
+    return contigs_.orderBy(F.desc(F.length("seq")), "seq")
+
+
 def statistics(contigs_: DataFrame, reference_length: int, least: int = MIN_STATS) -> DataFrame:
     """contig_num, total_len, n50, ng50, max_len, median_len over contigs of at least least bases.
 
@@ -30,6 +35,7 @@ def statistics(contigs_: DataFrame, reference_length: int, least: int = MIN_STAT
     element n div 2 of the descending order.
     """
     by_len = contigs_.where(F.col("len") >= least).groupBy("len").agg(F.count("*").alias("n"))
+    # one partition, of as many rows as there are distinct lengths: no more than the longest contig has bases
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("len"))
     run = by_len.withColumns({"upto": F.sum(F.col("len") * F.col("n")).over(w), "rank": F.sum("n").over(w)})
     totals = by_len.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("contig_num"), F.coalesce(F.sum(F.col("len") * F.col("n")), F.lit(0)).cast("long").alias("total_len"))

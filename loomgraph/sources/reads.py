@@ -18,7 +18,8 @@ def from_text(df: DataFrame, id_column: str, text_column: str, k: int) -> DataFr
 def from_fasta(spark: SparkSession, path: str, k: int) -> DataFrame:
     """Records begin at '>'; a sequence may be wrapped over lines, and the last one need not end in a newline."""
     records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r")).where(F.length("r") > 0)
-    parts = records.select(F.substring_index("r", "\n", 1).alias("header"), F.regexp_replace(F.expr("substring(r, instr(r, '\n') + 1)"), "[\r\n]", "").alias("s")).where(F.col("header") != F.col("s"))
+    whole = records.where(F.instr("r", "\n") > 0)  # a header without a sequence is no read
+    parts = whole.select(F.substring_index("r", "\n", 1).alias("header"), F.regexp_replace(F.expr("substring(r, instr(r, '\n') + 1)"), "[\r\n]", "").alias("s"))
     reads = parts.select(F.rtrim(F.col("header"), F.lit("\r")).alias("read_id"), sanitized(F.col("s")).alias("seq"))
     return reads.where(F.length("seq") >= k)
 
@@ -29,3 +30,16 @@ def from_table(df: DataFrame, k: int, read_id: str = "read_id", seq: str = "seq"
 
 def documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", k)
+
+
+def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """name, seq, len of the records of a contig FASTA file as they are written, wrapped or not."""
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r")).where(F.instr("r", "\n") > 0)
+    seq = F.regexp_replace(F.expr("substring(r, instr(r, '\n') + 1)"), r"\s", "")
+    return records.select(F.rtrim(F.substring_index("r", "\n", 1), F.lit("\r")).alias("name"), seq.alias("seq")).withColumn("len", F.length("seq").cast("long"))
+
+
+def spread(reads: DataFrame) -> DataFrame:
+    """reads over all cores if they came in fewer partitions than there are; windows are many times the reads."""
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    return reads.repartition(cores, "read_id") if reads.rdd.getNumPartitions() < cores else reads

@@ -15,6 +15,11 @@ def write_fasta(contigs: DataFrame, path: str) -> None:
     fasta_lines(contigs).write.text(path)
 
 
+def write_histogram(histogram: DataFrame, path: str) -> None:
+    """A thousand lines, the n of bins 0 to 999 in order."""
+    histogram.coalesce(1).sortWithinPartitions("mult_bin").select(F.col("n").cast("string").alias("value")).write.text(path)
+
+
 def removed_contigs(removed: DataFrame) -> DataFrame:
     """Removed sequences longer than 100 as contigs, named by their content."""
     return removed.where(F.length("seq") > 100).select(F.concat(F.lit("contig_Removed"), F.xxhash64("seq").cast("string")).alias("name"), "seq")
