@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import arcs as A
 from loomgraph.operators import clean
 from loomgraph.operators.compact import compact
-from loomgraph.operators.contigs import contigs
+from loomgraph.operators.contigs import contigs, longest_first, statistics
 from loomgraph.plans.params import Params, parse
 from loomgraph.plans.session import stored
 from loomgraph.sources import sinks
-from loomgraph.sources.reads import from_fasta
+from loomgraph.sources.reads import contig_lengths, from_fasta, spread
 
 ROUNDS = 4
 
@@ -22,21 +24,29 @@ def graph(reads: DataFrame, k: int, cutoff: int) -> DataFrame:
     return A.as_arcs(A.cutoff(A.count_arcs(reads, k), cutoff), k)
 
 
+def _mark(arcs: DataFrame) -> tuple:
+    """Tells two states of the arcs apart."""
+    return tuple(arcs.agg(F.count("*"), F.sum(F.xxhash64("src", "arc_idx", "seq", "mult").cast("decimal(38,0)"))).first())
+
+
 def clean_up(arcs: DataFrame, k: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Arcs after error removal, and the removed sequences; stops early when a round changes nothing."""
     removed = None
     for _ in range(rounds):
-        before = arcs.agg(F.count("*"), F.sum("len")).first()
+        before = _mark(arcs)
         arcs = compact(clean.remove_tips(arcs, k), k)
         arcs = compact(clean.remove_low_coverage(arcs, k), k)
-        arcs = stored(clean.unroll_loops(arcs, k), "unrolled")
-        arcs, popped = clean.pop_bubbles(arcs, k)
-        removed = popped if removed is None else removed.union(popped)
-        arcs = stored(clean.linearise_repeats(stored(arcs, "popped"), k), "linear")
+        arcs = clean.until_stable(clean.unroll_loops, stored(arcs, "weak"), k)
+        n = -1
+        while n != (n := arcs.count()):
+            arcs, popped = clean.pop_bubbles(arcs, k)
+            arcs = stored(arcs, "popped")
+            removed = popped if removed is None else removed.union(popped)
+        arcs = clean.until_stable(clean.linearise_repeats, arcs, k)
         arcs = stored(compact(arcs, k), "round")
-        if arcs.agg(F.count("*"), F.sum("len")).first() == before:
+        if _mark(arcs) == before:
             break
-    return stored(clean.resolve_cross_edges(arcs, k), "crossed"), removed
+    return clean.until_stable(clean.resolve_cross_edges, arcs, k), removed
 
 
 def assemble(reads: DataFrame, k: int, cutoff: int) -> DataFrame:
@@ -45,21 +55,47 @@ def assemble(reads: DataFrame, k: int, cutoff: int) -> DataFrame:
     return contigs(arcs, k)
 
 
+def contig_statistics(spark: SparkSession, path: str, reference_length: int) -> DataFrame:
+    """One row of length statistics of a contig FASTA file."""
+    return statistics(contig_lengths(spark, path), reference_length)
+
+
 def main(spark: SparkSession, argv: list[str]) -> None:
+    """Assembles FASTA reads into the output folder; metrics (stage, seconds, rows) tell how it went."""
     p: Params = parse(argv)
-    counted = stored(A.count_arcs(from_fasta(spark, p.input, p.k), p.k), "counted")
+    metrics, began = [], time.time()
+
+    def ended(stage: str, table: DataFrame | None = None) -> None:
+        nonlocal began
+        metrics.append((stage, round(time.time() - began, 3), table.count() if table is not None else None))
+        began = time.time()
+
+    def finish() -> None:
+        spark.createDataFrame(metrics, "stage string, seconds double, n_rows long").coalesce(1).write.json(f"{p.output}/metrics")
+
+    reads = spread(from_fasta(spark, p.input, p.k))
+    counted = stored(A.count_arcs(reads, p.k), "counted")
+    ended("arcs counted", counted)
+    kmers = A.kmer_counts(reads, p.k).agg(F.count("*").alias("n_kmers"))
+    sinks.write_histogram(A.histogram(counted, kmers, spark), f"{p.output}/arcFrequency.txt")
+    ended("arc frequencies")
     arcs = A.as_arcs(A.cutoff(counted, p.cutoff), p.k)
     if p.kmer_graph:
         A.adjacency(arcs, p.k).write.parquet(f"{p.output}/kmerGraph")
-        return
+        ended("k-mer graph")
+        return finish()
     arcs = stored(compact(arcs, p.k), "compacted")
+    ended("compacted", arcs)
     sinks.write_fasta(contigs(arcs, p.k), f"{p.output}/noCEcontigs.fasta")
-    if p.performance:
-        return
-    if p.contig_graph:
+    if p.contig_graph and not p.performance:
         sinks.graph_lines(arcs).write.text(f"{p.output}/contigGraph.txt")
-    arcs, removed = clean_up(arcs, p.k)
-    found = contigs(arcs, p.k).select("name", "seq").unionByName(sinks.removed_contigs(removed))
-    sinks.write_fasta(found, f"{p.output}/CEContig.fasta")
-    if p.edge_list:
-        A.edge_list(arcs).write.parquet(f"{p.output}/edgeList")
+    ended("contigs before error removal")
+    if not p.performance:
+        arcs, removed = clean_up(arcs, p.k)
+        ended("error removal", arcs)
+        found = contigs(arcs, p.k).select("name", "seq").unionByName(sinks.removed_contigs(removed))
+        sinks.write_fasta(longest_first(found), f"{p.output}/CEContig.fasta")
+        if p.edge_list:
+            A.edge_list(arcs).write.parquet(f"{p.output}/edgeList")
+        ended("contigs")
+    finish()

@@ -1,4 +1,7 @@
-"""The registered queries, over reads derived from documents at k=23 and cutoff 5."""
+"""The registered queries, over reads derived from documents at k=23 and cutoff 5.
+
+The queries of single motif steps use k=19, at which all motifs occur; weak arcs are removed from the arcs of part names.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +14,9 @@ from loomgraph.operators import clean
 from loomgraph.operators import contigs as C
 from loomgraph.operators.compact import compact
 from loomgraph.plans import assembly
-from loomgraph.plans.oracle import CUTOFF, K, ORACLE_SQL  # noqa: F401
+from loomgraph.plans.oracle import CUTOFF, MOTIF_K, ORACLE_SQL, PARTS_CUTOFF, K  # noqa: F401
 from loomgraph.plans.session import stored
-from loomgraph.sources.reads import documents
+from loomgraph.sources.reads import documents, from_text, spread
 
 REFERENCE_LENGTH = 10_000
 
@@ -22,12 +25,16 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, K)
 
 
+def _spread(spark, sf_dir):
+    return spread(_reads(spark, sf_dir))
+
+
 def _counted(spark, sf_dir):
-    return A.count_arcs(_reads(spark, sf_dir), K)
+    return A.count_arcs(_spread(spark, sf_dir), K)
 
 
 def _unit(spark, sf_dir):
-    return assembly.graph(_reads(spark, sf_dir), K, CUTOFF)
+    return assembly.graph(_spread(spark, sf_dir), K, CUTOFF)
 
 
 def _compacted(spark, sf_dir):
@@ -35,10 +42,24 @@ def _compacted(spark, sf_dir):
 
 
 def _histogram(spark, sf_dir):
-    kmers = A.kmer_counts(_reads(spark, sf_dir), K).agg(F.count("*").alias("n_kmers"))
+    kmers = A.kmer_counts(_spread(spark, sf_dir), K).agg(F.count("*").alias("n_kmers"))
     return A.histogram(stored(_counted(spark, sf_dir), "counted"), kmers, spark)
 
 
+def _motifs(step):
+    def run(spark, sf_dir):
+        arcs = stored(compact(assembly.graph(spread(documents(spark, sf_dir, MOTIF_K)), MOTIF_K, CUTOFF), MOTIF_K), "compacted")
+        return step(arcs, MOTIF_K)
+
+    return run
+
+
+def _weak(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    reads = spread(from_text(parts, "p_partkey", "t", K))
+    return _short(clean.remove_low_coverage(stored(assembly.graph(reads, K, PARTS_CUTOFF), "arcs"), K))
+
+
 def _after(step):
     return lambda spark, sf_dir: step(_compacted(spark, sf_dir))
 
@@ -49,8 +70,8 @@ def _short(arcs: DataFrame) -> DataFrame:
 
 QUERIES = {
     "reads_sanitized": _reads,
-    "kmer_canonical_counts": lambda s, d: A.kmer_counts(_reads(s, d), K),
-    "kmer_distinct": lambda s, d: A.kmer_counts(_reads(s, d), K).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n_occurrences")),
+    "kmer_canonical_counts": lambda s, d: A.kmer_counts(_spread(s, d), K),
+    "kmer_distinct": lambda s, d: A.kmer_counts(_spread(s, d), K).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n_occurrences")),
     "arc_multiplicity": _counted,
     "arc_histogram": _histogram,
     "arc_cutoff": lambda s, d: A.cutoff(_counted(s, d), CUTOFF),
@@ -59,18 +80,19 @@ QUERIES = {
     "graph_statistics": lambda s, d: A.graph_statistics(_unit(s, d), K),
     "neighbor_twin_join": lambda s, d: A.twins(stored(_unit(s, d), "arcs"), K),
     "kmer_adjacency": lambda s, d: A.adjacency(_unit(s, d), K),
+    "unique_sides": lambda s, d: A.unique_sides(_unit(s, d)),
     "edge_list": lambda s, d: A.edge_list(_unit(s, d)),
-    "partition_histogram": lambda s, d: A.kmer_counts(_reads(s, d), K).groupBy((partition_hash(F.col("kmer")) % 24).alias("part")).agg(F.count("*").alias("n")),
+    "partition_histogram": lambda s, d: A.kmer_counts(_spread(s, d), K).groupBy((partition_hash(F.col("kmer")) % 24).alias("part")).agg(F.count("*").alias("n")),
     "compacted_arcs": _compacted,
     "contigs": _after(lambda a: C.contigs(a, K)),
     "contig_stats": _after(lambda a: C.statistics(stored(C.contigs(a, K), "contigs"), REFERENCE_LENGTH)),
     "tips_removed": lambda s, d: _short(clean.remove_tips(stored(_unit(s, d), "arcs"), K)),
-    "low_coverage_removed": lambda s, d: _short(clean.remove_low_coverage(stored(_unit(s, d), "arcs"), K)),
+    "low_coverage_removed": _weak,
     "master_statistics": _after(lambda a: A.master_statistics(a, K)),
     "parallel_edges": _after(clean.parallel_pairs),
-    "bubble_pop": _after(lambda a: clean.bubbles(a, K)),
-    "loop_unroll": _after(lambda a: clean.unroll_loops(a, K)),
-    "repeat_linearise": _after(lambda a: clean.linearise_repeats(a, K)),
-    "cross_edge": _after(lambda a: clean.resolve_cross_edges(a, K)),
-    "assemble_full": lambda s, d: assembly.assemble(_reads(s, d), K, CUTOFF),
+    "bubble_pop": _motifs(clean.bubbles),
+    "loop_unroll": _motifs(clean.unroll_loops),
+    "repeat_linearise": _motifs(clean.linearise_repeats),
+    "cross_edge": _motifs(clean.resolve_cross_edges),
+    "assemble_full": lambda s, d: assembly.assemble(_spread(s, d), K, CUTOFF),
 }

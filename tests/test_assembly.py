@@ -12,8 +12,9 @@ from loomgraph.operators import clean
 from loomgraph.operators import contigs as C
 from loomgraph.operators.compact import compact
 from loomgraph.plans import catalog
-from loomgraph.plans.assembly import assemble, graph, main
+from loomgraph.plans.assembly import assemble, contig_statistics, graph, main
 from loomgraph.plans.params import Params, parse
+from loomgraph.plans.session import shared_dir
 from loomgraph.sources import reads as R
 from loomgraph.sources import sinks
 from loomgraph.streaming import counts as S
@@ -100,12 +101,103 @@ def test_bubble_keeps_the_stronger_path(spark):
     assert [max(r[0], rc(r[0])) in max(weak, rc(weak)) or r[0] in weak or rc(r[0]) in weak for r in removed.collect()] == [True]
 
 
-def test_repeat_passed_twice_is_unrolled(spark):
-    u, left, right = random_dna(50, 11), random_dna(60, 12), random_dna(60, 13)
+@pytest.mark.parametrize(("step", "length"), [(clean.unroll_loops, 21), (clean.linearise_repeats, 50)])
+def test_repeat_passed_twice_is_unrolled(spark, step, length):
+    # a repeat of k bases is one node with a loop; a longer one is two nodes with two paths between them
+    u, left, right = "C" + random_dna(length - 2, 11) + "G", random_dna(60, 12) + "A", "T" + random_dna(60, 13)
     walk = left + u + u + right
     arcs = compact(graph(reads_of(spark, *[walk] * 3), 21, 1), 21)
-    after = compact(clean.unroll_loops(arcs, 21), 21)
-    assert after.count() <= arcs.count() and A.twins(after, 21).count() == after.count()
+    after = compact(step(arcs, 21), 21)
+    assert A.twins(after, 21).count() == after.count()
+    found = {r["seq"] for r in C.contigs(after, 21).collect()}
+    assert len(found) == 1 and found <= {walk, rc(walk)}
+
+
+def hand_made(spark, k, *rows):
+    """Arcs with their twins from (src as left, string, multiplicity); all ends are canonical k-mers in some strand."""
+    out = []
+    for start, seq, mult in rows:
+        for s, t in ((start, seq), (rc(start + seq)[:k], rc(start + seq)[k:])):
+            src = max(s, rc(s))
+            out.append((src, "ACGT".index(t[0]) + (0 if s == src else 4), t, len(t), mult * len(t), mult))
+    df = spark.createDataFrame(sorted(set(out)), "src string, arc_idx int, seq string, len long, cov long, mult long")
+    return A.with_ends(df, k)
+
+
+def test_hairpin_with_both_arcs_opposite_is_turned_through(spark):
+    k, x = 5, "GATTC"
+    hairpin = rc(x)  # x + hairpin arrives at the other strand of x
+    n1, n2 = "CCCTT" + x, "CAGTA" + x
+    arcs = hand_made(spark, k, (x, hairpin, 8), (n1[:5], n1[5:], 4), (n2[:5], n2[5:], 6))
+    assert {r["degree_class"] for r in A.degrees(arcs).where(F.col("src") == max(x, rc(x))).collect()} == {"branch"}
+    after = clean.unroll_loops(arcs, k)
+    assert A.twins(after, k).count() == after.count()
+    found = {r["seq"] for r in C.contigs(compact(after, k), k, 0).collect()}
+    assert len(found) == 1 and found <= {(w := n1 + hairpin + rc(n2)[5:]), rc(w)}
+
+
+def test_weak_hairpin_goes(spark):
+    k, x = 5, "GACAT"  # with GTC behind it, it reads the same from both ends
+    arcs = hand_made(spark, k, ("CCCTT", x, 9), (x, "CGAGT", 9), (x, "GTC", 1))
+    assert arcs.where("src = dst").count() == 1
+    left = clean.unroll_loops(arcs, k)
+    assert left.where("src = dst").count() == 0 and left.count() == 4
+
+
+def test_windows_of_long_reads_are_those_of_the_whole(spark):
+    seq = random_dna(5000, 40)
+    got = sorted(r[0] for r in A.windows(reads_of(spark, seq), 22).select(F.col("w").cast("string")).collect())
+    assert got == sorted(max(w, rc(w)) for w in (seq[i : i + 22] for i in range(5000 - 21)))
+
+
+def test_partition_hash_is_over_packed_bytes(spark):
+    kmer = "GATTACAGATTACAGATTACAGC"
+    small, want = min(kmer, rc(kmer)), 0
+    number = sum("ACGT".index(b) << (2 * i) for i, b in enumerate(reversed(small)))
+    for _ in range(6):
+        want, number = (want * 19 + (number & 255)) % 2**32, number >> 8
+    assert spark.range(1).select(K.partition_hash(F.lit(kmer))).first()[0] == want
+
+
+def test_stream_equals_batch_after_two_batches(spark, tmp_path):
+    first, second = [random_dna(60, i) for i in (50, 51)], [random_dna(60, i) for i in (51, 52)]
+    (tmp_path / "in").mkdir()
+    for name, seqs in (("a", first), ("b", second)):
+        reads_of(spark, *seqs).coalesce(1).write.json(str(tmp_path / name))
+        next(p for p in (tmp_path / name).iterdir() if p.suffix == ".json").rename(tmp_path / "in" / f"{name}.json")
+    stream = spark.readStream.schema("read_id string, seq string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    state = {}
+    sizes = []
+
+    def merge(batch, number):
+        new = {(r["kmer"], r["arc_idx"]): r["mult"] for r in batch.collect()}
+        sizes.append(len(new))
+        state.update(new)
+
+    query = S.count_arcs(stream, 21).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination(120)
+    assert len(sizes) == 2 and state == {(r["kmer"], r["arc_idx"]): r["mult"] for r in A.count_arcs(reads_of(spark, *first, *second), 21).collect()}
+
+
+def test_tables_and_contig_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "acgtnacgt"), (2, "ac"), (3, None)], "i long, s string")
+    assert rows(R.from_table(df, 5, "i", "s")) == [("1", "ACGTAACGT")]
+    (tmp_path / "c.fa").write_text(">x\n" + "A" * 300 + "\n" + "C" * 200 + "\n>y\nACGT\n>z\n" + "G" * 400)
+    assert tuple(contig_statistics(spark, str(tmp_path / "c.fa"), 1500).first()) == (2, 900, 500, 400, 500, 400)
+    assert [r["len"] for r in C.longest_first(R.contig_lengths(spark, str(tmp_path / "c.fa"))).collect()] == [500, 400, 4]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
 
 
 def test_cross_edge_pairs_by_strength(spark):
@@ -133,6 +225,8 @@ def test_fasta_round_trips(spark, tmp_path):
     path.write_text(">a one\nacgtN\nACGTA\n>b\r\nACGTACGTAC\r\n>c\nACG")
     got = rows(R.from_fasta(spark, str(path), 5), "read_id", "seq")
     assert got == [("a one", "ACGTAACGTA"), ("b", "ACGTACGTAC")]
+    path.write_text(">ACGTACGT\nACGTACGT\n>empty\n>last\nACGTA")
+    assert rows(R.from_fasta(spark, str(path), 5), "read_id", "seq") == [("ACGTACGT", "ACGTACGT"), ("last", "ACGTA")]
     arcs = graph(reads_of(spark, random_dna(60, 1)), 21, 1)
     sinks.graph_lines(arcs).write.text(str(tmp_path / "g"))
     assert rows(sinks.read_graph(spark, str(tmp_path / "g"))) == rows(arcs, "src", "arc_idx", "seq", "mult")
@@ -144,6 +238,10 @@ def test_command_line(spark, tmp_path):
     main(spark, ["-k", "21", "-c", "1", "-i", str(tmp_path / "in.fa"), "-o", str(tmp_path / "out"), "-d", "-j"])
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "out/CEContig.fasta")).collect())
     assert genome in text or rc(genome) in text
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out/arcFrequency.txt")).collect()]
+    assert len(lines) == 1000 and sum(map(int, lines)) == 8 * 280
+    stages = {r["stage"]: r["n_rows"] for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
+    assert stages["compacted"] == 2 and "contigs" in stages
     with pytest.raises(ValueError, match="odd"):
         Params(k=22)
     assert parse(["-i", "a", "-o", "b"]).k == 23
