@@ -140,21 +140,74 @@ def test_lm_base_scores_and_proper_distribution(docs):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and -1e7 < r["score"] < 0
 
 
+def slow_chances(lm, text):
+    """Log-probability of each id of one text, place by place, without windows of other places or masks."""
+    exp = lambda x: attention.quick_exp(np.clip(np.asarray(x, np.float32), -30, 30).copy()).astype(float)
+    out, p = [], lm.p
+    for at, y in enumerate(text):
+        first = at // attention.STEP * attention.STEP - (attention.WINDOW - attention.STEP) - 1  # of the window's inputs
+        places = [i for i in range(max(first, -1), at)]
+        ids = [text[i] if i >= 0 else lm.start for i in places]
+        left = [text[i - 1] if i >= 1 else lm.start if i == 0 else lm.none for i in places]
+        e = np.array([p["E"][lm.input[i]] + p["B"][((int(j) * 40_503 + int(i) * 2_654_435_761) >> 7) % attention.PAIRS] + p["P"][x - first] for i, j, x in zip(ids, left, places, strict=True)])
+        w = exp((e[-1] @ p["Q"]) @ (e @ p["K"]).T * attention.KEYS**-0.5)
+        h = np.concatenate([w @ (e @ p["V"]) / w.sum(), e[-1]])
+        g = exp(h @ p["O"] + p["c"])
+        total = math.log(g[lm.group[y]] / g.sum()) + lm.within[y]
+        if lm.group[y] < attention.GROUPS - 1:
+            m = exp(h @ p["M"][lm.group[y]] + p["m"][lm.group[y]])
+            total += math.log(m[lm.member[y]] / m.sum())
+        out.append(total)
+    return out
+
+
 def test_attention_scores_each_token_once_and_sums_to_one():
-    counts = np.array([5.0, 3, 9, 0, 1, 2] + [1] * 60 + [7])
-    texts = [np.random.default_rng(i).integers(0, 66, 70) for i in range(8)]
-    lm = attention.AttentionLM(counts).train(texts)
-    ids = np.concatenate([texts[0], [66], texts[1][:5], [66]])
-    whole = lm.score(ids, np.array([71, 6]))
-    assert np.allclose(whole, [lm.score(ids[:71], np.array([71]))[0], lm.score(ids[71:], np.array([6]))[0]], rtol=1e-4)
-    prefix = ids[:30]
-    each = [lm.score(np.append(prefix, k), np.array([31]))[0] - lm.score(prefix, np.array([30]))[0] for k in range(67)]
+    rng = np.random.default_rng(0)
+    counts = np.append(rng.integers(0, 30, 1200), 9).astype(float)
+    texts = [np.append(rng.integers(0, 1200, 150), 1200) for _ in range(12)]
+    lm = attention.AttentionLM(counts)
+    assert math.isclose(lm.score(texts[0], np.array([151]))[0], np.log((counts[texts[0]] + 1) / (counts.sum() + 1201)).sum(), rel_tol=1e-2)
+    lm.train(lm.frames(np.concatenate(texts), np.array([151] * 12)), passes=20)
+    ids = np.concatenate([texts[0], texts[1][:5], [1200]])
+    both = lm.score(ids, np.array([151, 6]))
+    assert np.allclose(both, [sum(slow_chances(lm, t)) for t in (texts[0], ids[151:])], rtol=1e-3)
+    prefix = texts[0][:60]
+    each = [slow_chances(lm, np.append(prefix, k))[-1] for k in range(1201)]
     assert abs(np.exp(each).sum() - 1) < 1e-3
-    x, live, target = lm.windows(ids, np.array([71, 6]))
-    assert sorted(target[target >= 0].tolist()) == list(range(77))
-    y = np.where(target >= 0, lm.cls[ids[np.maximum(target, 0)]], -1)
-    slow = np.take_along_axis(lm._forward(x, live, attention.STEP)[0], np.maximum(y, 0)[:, :, None], 2)[:, :, 0]
-    assert np.allclose(lm._scored(x, live, y)[y >= 0], slow[y >= 0], atol=1e-4)
+    f = lm.frames(ids, np.array([151, 6]))
+    targets = f[:, -attention.STEP :]
+    assert (targets[targets != lm.none] == ids).all()
+
+
+def test_attention_gradient_is_that_of_the_score(monkeypatch):
+    monkeypatch.setattr(attention, "quick_exp", lambda x: np.exp(x))
+    rng = np.random.default_rng(1)
+    lm = attention.AttentionLM(np.append(rng.integers(0, 30, 1100), 9).astype(float))
+    lm.train(lm.frames(rng.integers(0, 1100, 300), np.array([300])), passes=3)
+    f = lm.frames(np.append(rng.integers(0, 1100, 90), 1100), np.array([91]))
+    loss = lambda: -lm.log_chances(f)[1].astype(float).mean()
+    for name, (rows, g) in lm._gradient(f).items():
+        full = np.zeros_like(lm.p[name])
+        full[rows] = g
+        way = np.sign(full) * (full != 0)
+        size = np.float32(3e-3)
+        lm.p[name] += size * way
+        up = loss()
+        lm.p[name] -= 2 * size * way
+        down = loss()
+        lm.p[name] += size * way
+        assert math.isclose((up - down) / (2 * size), float(np.abs(full).sum()), rel_tol=0.1, abs_tol=2e-3), name
+
+
+def test_lm_beats_the_unigram_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lmscore.score(docs).where("held_out").selectExpr("sum(score)", "sum(if(score > base_score, 1, 0))", "count(*)").first()
+    library = bpe._encoding(*bpe._shipped(docs, None, None).value)
+    ids = {i: attention.text_ids(library, library.n_vocab, [t.encode().lower()])[0] for i, t in texts_of(docs).items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in ids}
+    c = np.bincount(np.concatenate([x for i, x in ids.items() if not held[i]]), minlength=library.n_vocab + 1)
+    unigram = np.log10((c + 1) / (c.sum() + len(c)))
+    assert got[0] > 0.75 * sum(unigram[x].sum() for i, x in ids.items() if held[i])
 
 
 def test_license_base_and_method(spark, docs):
@@ -301,15 +354,149 @@ def test_decontamination_against_sql(spark, odd):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
-        assert after.columns == docs.columns, name
-        assert 0 < after.count() <= docs.count()
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
     assert decontam.leaks(out.select("doc_id").join(docs, "doc_id"), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
 
 
+CLASHES = "_row int, row string, _kept int, _bad int, key string, bucket string, lang_pred string, h int, ids string"
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_tables(spark, docs, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    kept = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = [(i, t, lang, source, n, 1, "r", 2, 3, "k", "b", "p", 4, "x") for i, t, lang, source, n in ODD]
+    odd = spark.createDataFrame(extra, f"{kept}, {CLASHES}")
+    taught = odd.unionByName(docs.limit(60), allowMissingColumns=True)
+    last = stage == corpus_pipeline.STAGES[-1][0]
+    got = run(spark, taught, SF)
+    assert last or got.columns == taught.columns
+    ids = Counter(r["doc_id"] for r in got.collect() if r["doc_id"] is None or r["doc_id"] < 11)
+    every = Counter(r[0] for r in ODD) + Counter(r["doc_id"] for r in docs.limit(60).collect() if r["doc_id"] < 11)
+    gone = {"language_id": {1, 2, 3}}.get(stage, set())
+    assert all(ids[i] == 0 or i not in gone for i in every)
+    if stage in ("pii", "byte_bpe"):
+        assert ids == every
+    assert run(spark, odd.limit(0), SF).count() == 0
+
+
+def test_deduplicate_keeps_texts_that_share_an_id(spark):
+    rows = [(4, "a b c"), (4, "d e f"), (None, "g h i"), (None, "j k l m"), (7, "z z z"), (7, "z z z"), (8, "Z  z z"), (9, "a b c")]
+    got = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(4, "a b c"), (4, "d e f"), (None, "g h i"), (None, "j k l m"), (7, "z z z")])
+    items = spark.createDataFrame([(1, "d e f"), (2, "g h i")], "item_id long, text string")
+    left = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert Counter(map(tuple, left)) == Counter(r for r in rows if r[1] not in ("d e f", "g h i"))
+
+
+def test_crowded_buckets_are_divided(spark):
+    members = [(b, k, k, k) for b in (1, 2, 3) for k in range(20)] + [(9, 0, 0, 0), (9, 1, 1, 1), (4, 30, 30, 30), (4, 31, 31, 31)]
+    df = spark.createDataFrame(members, "bucket long, key long, age long, class long")
+    got = neardup.divided(df, 10).collect()
+    assert {r["bucket"] for r in got if r["key"] in (30, 31)} == {4} and sum(r["bucket"] == 9 for r in got) == 2
+    assert Counter(r["key"] for r in got)[5] == 3 and not {1, 2, 3} & {r["bucket"] for r in got}
+    assert neardup.divided(df, 100).count() == len(members)
+
+
+def test_bpe_of_long_white_space(spark):
+    import public_tokenizers
+
+    library = bpe._encoding(open(bpe.default_ranks(), "rb").read(), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    for _ in range(1500):
+        t = "".join(rng.choices(["a", "b ", " ", "\n", "\t", "\xa0", "\x1c", "\x85", "'s", "1", "!", "é"], k=40))
+        assert bpe.encode_text(library, t, 12, 3).tolist() == library.encode_ordinary(t), repr(t)
+    texts = ["a" + c * 1_200_000 + "b" for c in (" ", "\t", "\n")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, r in by_id(bpe.digests(df)).items():
+        assert r["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() and r["n_tokens"] > 0
+    assert lmscore.encoded(lmscore.doc_text(df), bpe._shipped(df, None, None)).count() == 3
+
+
+def test_determinant_is_the_least_of_all_subsets(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.3, (9, 5)), rng.normal(2.5, 0.1, (3, 5))])
+    def logdet(rows):
+        part = x[list(rows)]
+        return np.linalg.slogdet(np.cov(part.T, bias=True) + np.eye(5) * quality.FLOOR**2)[1]
+    best = min(combinations(range(12), 9), key=logdet)
+    rows = [(i, "=a", "=b", *map(float, v)) for i, v in enumerate(x)]
+    got = quality.fit(spark.createDataFrame(rows, "doc_id long, g string, h string, " + ", ".join(f"{v} double" for v in quality.VECTOR)), least=10).first()
+    assert best == tuple(range(9)) and np.allclose(got["m"], x[:9].mean(0), atol=0.1) and math.isclose(got["logdet"], logdet(best), abs_tol=0.5)
+
+
+def test_a_cluster_of_a_fifth_does_not_mask_itself(spark):
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0, 0.25, (200, 5)), rng.normal(0, 0.02, (50, 5))
+    bad[:, 0] += 3
+    rows = [(i, "=a", "=b", *map(float, v)) for i, v in enumerate(np.concatenate([good, bad]))]
+    got = quality.fit(spark.createDataFrame(rows, "doc_id long, g string, h string, " + ", ".join(f"{v} double" for v in quality.VECTOR))).first()
+    w = np.array(got["w"]).reshape(5, 5)
+    far = lambda z: np.einsum("nd,de,ne->n", z - got["m"], w, z - got["m"]) / quality.consistency()
+    assert far(good).max() < quality.CUT < far(bad).min()
+
+
+def test_language_tables_are_the_convolution():
+    model = langid.ByteCNN(["a", "b"])
+    data = np.frombuffer(b"some text with \xc3\xa9 and more" + b" " * 8, np.uint8)
+    got = model.responses(data, np.array([0, 10]), np.array([10, 30]), model.tables())
+    for k, (a, b) in enumerate(((0, 10), (10, 30))):
+        slow = []
+        for w in langid.WIDTHS:
+            e = model.p["E"][data]
+            r = np.stack([e[i : i + w].reshape(-1) @ model.p[f"F{w}"] + model.p[f"b{w}"] for i in range(a, b)])
+            slow.append(np.maximum(r.max(0), 0))
+        assert np.allclose(got[k], np.concatenate(slow), atol=1e-4)
+
+
+def test_every_language_is_learned_even_of_short_rows(spark):
+    rows = [(i, f"t{i}", f"l{i:04}", "x") for i in range(1200)]
+    sample = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rows=3)
+    assert {lang for lang, _ in sample} == {f"l{i:04}" for i in range(1200) if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_license_labels_against_a_slow_search(spark, docs):
+    docs = docs.orderBy("doc_id").limit(60).select("doc_id", "text").union(spark.createDataFrame([(-k, f"{prose(20, k)} {t[1]} {prose(9, k)}") for k, t in enumerate(licenses.TEMPLATES, 1)], "doc_id long, text string"))
+    texts = texts_of(docs)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower))
+    got = by_id(licenses.scan(docs))
+    for i, t in texts.items():
+        w, want = cut(t), set(filter(None, got[i]["base_labels"].split(",")))
+        for label, template, keys in licenses.TEMPLATES:
+            words_ = cut(template)
+            for at in range(-len(words_), len(w) + len(words_)):
+                near = [any(0 <= at + q + d < len(w) and w[at + q + d] == x for d in range(-licenses.SLACK, licenses.SLACK + 1)) for q, x in enumerate(words_)] if at < len(w) and (words_[0] in w or words_[-1] in w or set(words_[1:-1]) & set(w)) and len(set(words_) & set(w)) >= 0.6 * len(set(words_)) * 0.9 else []
+                span = " ".join(w[max(0, at - licenses.SLACK) : max(0, at + len(words_) + licenses.SLACK)])
+                if near and sum(near) >= licenses.MIN_COVER * len(words_) and any(f" {' '.join(cut(k))} " in f" {span} " for k in keys):
+                    want.add(label)
+                    break
+        assert set(filter(None, got[i]["labels"].split(","))) == want, i
+
+
+def test_secret_links_against_a_slow_join(spark):
+    rng = random.Random(8)
+    made = []
+    for i in range(60):
+        bits = ["word", "user = bob" + str(i), "Zk3vQ9xT7bLm2PqR8sY" + str(i), "https://h.example/x", "\n\n", "a " * rng.choice([5, 100, 200])]
+        made.append((i, " ".join(rng.choices(bits, k=12))))
+    got = by_id(secrets.scan(spark.createDataFrame(made, "doc_id long, text string")))
+    for i, t in made:
+        base, every = secrets.parts(t)
+        secret = [x for x in every if x[2] in ("secret", "assign", "hex")]
+        other = [x for x in every if x[2] not in ("secret", "assign", "hex")]
+        want = set()
+        for a in secret:
+            for b in other:
+                if a[3] == b[3] and b[0] - a[1] <= secrets.REACH and a[0] - b[1] <= secrets.REACH:
+                    want |= {x[:3] for x in (a, b) if x[2] in ("identifier", "secret", "endpoint")}
+        want = sorted({*want, *base}, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+        assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, e, k in want)
+
+
 def test_lm_counts_are_those_of_the_encoded_texts(spark):
     texts = ["One line\n\nTwo  words\n\tthree", "\n\nOne", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -326,11 +513,13 @@ def test_attention_learns_from_the_ends_of_long_texts(spark):
     noise, turns = rng.integers(3, 60, 700), np.tile([1, 2], 500)
     counts = np.bincount(np.concatenate([turns, noise]), minlength=68).astype(float)
     probe = np.append(turns[:100], 67)
+    how = attention.Training(rounds=2)
 
     def learnt(texts):
-        rows = [(i, np.append(t, 67).astype(np.int32).tobytes(), len(t) + 1) for i, t in enumerate(texts)]
+        kind = attention.frame_type(68)
+        rows = [(i, np.append(t, 67).astype(kind).tobytes(), len(t) + 1) for i, t in enumerate(texts)]
         df = spark.createDataFrame(rows, "doc_id long, ids binary, n_ids long")
-        return [attention.AttentionLM(counts).learn(df.repartition(n)).score(probe, np.array([101]))[0] for n in (1, 3)]
+        return [attention.AttentionLM(counts).learn(df.repartition(n), how).score(probe, np.array([101]))[0] for n in (1, 3)]
 
     whole, other_parts = learnt([np.concatenate([noise, turns])] * 60)
     cut, _ = learnt([noise[:600]] * 60)
