@@ -89,20 +89,16 @@ def resolve(
             sums: list[list] = [[] for _ in range(3)]
             for doc_id, rid, text in zip(ids, rids, raw, strict=True):
                 here = Counter(split(text))
-                total, n_known, rest = [], 0, []
-                for w, n in here.items():
-                    v = known.get(w)
-                    if v is None:
-                        rest.append((w, n))
-                    else:
-                        n_known += n
-                        total.append(n * v)
-                for x, v in zip(sums, (sum(here.values()), n_known, math.fsum(total)), strict=True):
+                found = list(map(known.get, here))
+                total = math.fsum([n * v for n, v in zip(here.values(), found, strict=True) if v is not None])
+                rest = {w: n for (w, n), v in zip(here.items(), found, strict=True) if v is None}
+                n_words = sum(here.values())
+                for x, v in zip(sums, (n_words, n_words - sum(rest.values()), total), strict=True):
                     x.append(v)
-                out[0] += [w for w, _ in rest]
+                out[0] += rest
                 out[1] += [doc_id] * len(rest)
                 out[2] += [rid] * len(rest)
-                out[3] += [n for _, n in rest]
+                out[3] += rest.values()
                 if len(out[0]) >= OUT_ROWS:
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=False)), *(pa.nulls(len(out[0]), k) for k in kinds[4:])], names)
                     out = [[] for _ in range(4)]
