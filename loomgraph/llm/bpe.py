@@ -48,6 +48,23 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@functools.cache
+def _white() -> np.ndarray:
+    """Which of the code points up to the last white one are white space."""
+    return np.array([regex.match(r"\p{White_Space}", chr(c)) is not None for c in range(0x3002)])
+
+
+def _long_runs(text: str, least: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of at least so many white-space characters, in one pass."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    white = np.zeros(len(points) + 2, np.int8)
+    white[1:-1] = _white()[np.minimum(points, 0x3001)]
+    turns = np.flatnonzero(np.diff(white))
+    starts, ends = turns[::2], turns[1::2]
+    long = ends - starts >= least
+    return zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+
+
 @functools.lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str):
     import tiktoken
@@ -72,11 +89,11 @@ def encode_text(encoding, text: str, size: int = PART_CHARS, run: int = LONG_RUN
     if len(text) <= min(size, run):
         return np.asarray(encoding.encode_ordinary(text), np.uint32)
     out, at = [], 0
-    for m in regex.finditer(r"\p{White_Space}{%d,}+" % run, text):
+    for start, stop in _long_runs(text, run):
         # a last space belongs to the word behind it, and any other last character is a piece of its own
-        end = m.end() - (m.end() < len(text))
-        out += [encoding.encode_ordinary(x) for x in parts(text[at : m.start()], size)]
-        out.append(encoding._encode_single_piece(text[m.start() : end].encode()))
+        end = stop - (stop < len(text))
+        out += [encoding.encode_ordinary(x) for x in parts(text[at:start], size)]
+        out.append(encoding._encode_single_piece(text[start:end].encode()))
         at = end
     out += [encoding.encode_ordinary(x) for x in parts(text[at:], size)]
     return np.concatenate([np.asarray(x, np.uint32) for x in out])
