@@ -5,10 +5,10 @@ maximum in a window, and a softmax over those gives the window's languages; a do
 windows, weighted by their bytes. As a filter is linear in the bytes, its response is a sum of two-byte table entries, so
 that a window costs a few look-ups per filter and byte.
 
-The network learns from a bounded sample of labelled rows of each language: those with the smallest hashes of doc_id,
+The network learns from a bounded sample of labelled rows of each language: those with the smallest hashes of doc_id and text,
 at most ROWS_PER_LANGUAGE and at most LABELLED_ROWS over all languages (but at least one of each), and WINDOWS_PER_ROW
-windows of each, spread over the text and cut out before they come to the driver. Every language with a labelled row that
-has a text is learned. The network is applied to every window of every text.
+windows of each, spread over the text and cut out before they come to the driver. Rows that repeat in full count once there.
+Every language with a labelled row that has a text is learned. The network is applied to every window of every text.
 
 A null text, or one without a letter, is "und" with score 0. Without labelled rows every text is. Ties go to the language
 that sorts first. Repeated rows stay rows of their own; other columns are never read. keep() drops rows that are "und" or
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffer, doc_text, few, slices, small_batches
+from loomgraph.llm.common import buffer, doc_text, few, row_identity, slices, small_batches
 from loomgraph.plans.session import stored
 
 WINDOW = 256
@@ -141,17 +141,18 @@ def windows(text: bytes, how_many: int) -> list[np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, total: int = LABELLED_ROWS) -> list[tuple[str, list[np.ndarray]]]:
-    """The windows of the labelled rows with the smallest hashes of doc_id outside the held-out fold.
+    """The windows of the labelled rows with the smallest hashes of doc_id and text outside the held-out fold.
 
     Of each language at most rows, and over all languages about total, but one of each language at least.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))) != ""))
-    keyed = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    keyed = known.select(F.col("lang").cast("string").alias("lang"), row_identity().alias("h"), F.col("text").cast("string").alias("text"))
     # a bound on the hash that leaves about twice the rows, from counts alone; small languages keep all
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).withColumn("languages", F.count("*").over(Window.partitionBy(F.lit(0))))
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).withColumn("languages", F.count("*").over(Window.partitionBy(F.lit(0))))
     each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(total) / F.col("languages")))).alias("each")
-    counts = counts.select("lang", each, F.least(F.lit(1.0), (2.0 * each + 20) / F.col("n")).alias("share"))
-    near = keyed.join(few(stored(counts, "languages")), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    counts = counts.select("lang", each, "least", F.least(F.lit(1.0), (2.0 * each + 20) / F.col("n")).alias("share"))
+    below = ((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share")) | (F.col("h") == F.col("least"))
+    near = keyed.join(few(stored(counts, "languages")), "lang").where(below).groupBy("lang", "each", "h").agg(F.max("text").alias("text"))
     w = Window.partitionBy("lang").orderBy("h", "text")
     picked = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("each")).select("lang", "k", "text")
 
