@@ -78,7 +78,10 @@ def gathered(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds the rows in an Arrow batch; texts may be long."""
+    """df, after the session's bound on the rows in an Arrow batch was lowered, if it was higher; texts may be long.
+
+    Plans are made when they run, so the bound holds for the session from then on: it can't end with this call.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -190,8 +193,8 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int = 5) -> tuple[np
     return out, at
 
 
-def row_hash(doc_ids: list, texts: list[bytes]) -> list[int]:
-    """A signed 64-bit hash of each row, to tell rows with one id apart."""
+def row_hash(texts: list[bytes]) -> list[int]:
+    """A signed 64-bit hash of each text, to tell rows with one id apart."""
     import xxhash
 
     return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]

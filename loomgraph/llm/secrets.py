@@ -102,7 +102,7 @@ def find_parts(docs: DataFrame) -> DataFrame:
             base = pa.array([[{"s": s, "e": e, "k": k} for s, e, k in b] for b, _ in got], pa.list_(span))
             every = pa.array([[{"s": s, "e": e, "k": k, "p": p} for s, e, k, p in x] for _, x in got], pa.list_(part))
             sha = [hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in b).encode()).hexdigest() for b, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row_hash([], raw), pa.int64()), base, every, pa.array(sha)], ["doc_id", "rid", "base", "parts", "base_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row_hash(raw), pa.int64()), base, every, pa.array(sha)], ["doc_id", "rid", "base", "parts", "base_sha256"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, rid long, base array<struct<s:long,e:long,k:string>>, parts array<struct<s:long,e:long,k:string,p:long>>, base_sha256 string")
 

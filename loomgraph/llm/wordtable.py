@@ -1,13 +1,14 @@
 """Counts of the words of a corpus, and joins of per-document word counts with a value per word.
 
 count() makes one row per distinct word. resolve() joins every document's distinct words with such a table. The most
-frequent words (at most HEAD_WORDS of at most HEAD_BYTES bytes each, so a few MB whatever the corpus) go to every task
-as a dictionary and are summed while a document is read; all other words are shuffled and joined. Only rare words are
-shuffled that way, so that no key of the join is hot, and AQE splits what is still uneven.
+frequent words (at most HEAD_WORDS, each in at most HEAD_BYTES bytes as a longer one is known by its digest, so a few MB
+whatever the corpus) go to every task as a dictionary and are summed while a document is read; all other words are shuffled
+and joined. Only rarer words are shuffled that way, however long they are, and AQE splits what is still uneven.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable
@@ -46,10 +47,15 @@ def count(texts: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def short_key(word: bytes) -> bytes:
+    """The word, or for a long one its digest behind a space, which no word holds."""
+    return word if len(word) <= HEAD_BYTES else b" " + hashlib.sha256(word).digest()
+
+
 def head(counts: DataFrame, value: str) -> dict[bytes, float]:
-    """value of the most frequent short words."""
-    top = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").select("word", value).limit(HEAD_WORDS)
-    got = top.toArrow()
+    """value of the most frequent words, by short_key()."""
+    key = F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.sha2("word", 256))))
+    got = counts.select(key.alias("key"), "c", value if value != "c" else F.col("c").alias("_v")).orderBy(F.desc("c"), "key").limit(HEAD_WORDS).toArrow().drop(["c"])
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
@@ -84,12 +90,14 @@ def resolve(
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), read(batch.column(1))
             more = extras(batch.column(1) if read is not _bytes else raw) if extras else []
-            rids = row_hash(ids, raw)
+            rids = row_hash(raw)
             out: list[list] = [[] for _ in range(4)]
             sums: list[list] = [[] for _ in range(3)]
             for doc_id, rid, text in zip(ids, rids, raw, strict=True):
                 here = Counter(split(text))
                 found = list(map(known.get, here))
+                if max(map(len, here), default=0) > HEAD_BYTES:
+                    found = [known.get(short_key(w)) if v is None else v for w, v in zip(here, found, strict=True)]
                 total = math.fsum([n * v for n, v in zip(here.values(), found, strict=True) if v is not None])
                 rest = {w: n for (w, n), v in zip(here.items(), found, strict=True) if v is None}
                 n_words = sum(here.values())
