@@ -11,11 +11,10 @@ for exp() in all of them.
 Scoring reads windows of WINDOW ids that overlap: each scores its last STEP ids, with at least WINDOW - STEP ids of context,
 so that every id is scored once. Windows of many texts form one batch; attention is masked to earlier ids of the same text.
 
-Ids are counted in all training texts. Weights are learned from windows that a hash draws from every part of every training
-text: a fixed share of them, so that their number grows with the corpus, and all of them while they are few. learn() deals
-them into rounds; in a round, groups of windows train in parallel from the round's weights, and the mean of their weights,
-by windows, starts the next round. What is drawn and dealt follows from the rows alone, not from how the input is
-partitioned.
+Ids are counted in all training texts, and weights are learned from all windows of them, each once, at any size of the
+corpus. learn() deals the windows by hash into rounds; in a round, groups of windows train in parallel from the round's
+weights, and the mean of their weights, by windows, starts the next round. What is dealt follows from the rows alone, not
+from how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ INPUTS, PAIRS = 4096, 8192
 #: Windows in a batch, in scoring and in training.
 BATCH = 128
 TRAIN_BATCH = 64
-#: Weights are summed in pieces of so many, of so many groups at a time.
+#: Windows are passed on, and weights summed, in pieces of so many; weights of so many groups at a time.
 PIECE = 4096
 FAN_IN = 64
 #: Clips what goes into quick_exp().
@@ -54,10 +53,8 @@ _SEEN = (np.arange(WINDOW)[None] <= np.arange(WINDOW - STEP, WINDOW)[:, None]).a
 
 @dataclass(frozen=True)
 class Training:
-    """share: of the windows, learned from; least: windows below which all are, and are gone through repeatedly."""
+    """rounds: how often weights are averaged; group: windows that train one after another, about; rate: of the first round."""
 
-    share: float = 0.0625
-    least: int = 32_768
     rounds: int = 6
     group: int = 6144
     rate: float = 0.01
@@ -252,11 +249,13 @@ class AttentionLM:
         ds = datt @ v.transpose(0, 2, 1)
         ds = s * (ds - (ds * s).sum(2, keepdims=True))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        over = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
         root = np.float32(KEYS**-0.5)
-        out |= {"Q": (every, over(e[:, -STEP:], dq) * root), "K": (every, over(e, dk)), "V": (every, over(e, dv))}
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, -STEP:] += dq @ (p["Q"].T * root) + full[..., VALUES:]
+        d = np.zeros((*x.shape, 2 * KEYS + VALUES), np.float32)
+        d[..., :KEYS], d[..., KEYS:-KEYS], d[:, -STEP:, -KEYS:] = dk, dv, dq * root
+        moved = e.reshape(-1, SIZE).T @ d.reshape(-1, d.shape[-1])
+        out |= {"K": (every, moved[:, :KEYS]), "V": (every, moved[:, KEYS:-KEYS]), "Q": (every, moved[:, -KEYS:])}
+        de = d @ np.concatenate([p["K"], p["V"], p["Q"]], axis=1).T
+        de[:, -STEP:] += full[..., VALUES:]
         out["P"] = (every, de.sum(0))
         flat = de.reshape(-1, SIZE)
         for name, index in (("E", x.ravel()), ("B", pair.ravel())):
@@ -281,15 +280,12 @@ class AttentionLM:
         total = training.agg(F.sum(F.ceil(F.col("n_ids") / float(STEP)))).first()[0]
         if not total:
             return self
-        share = min(1.0, max(how.share, how.least / total))
-        repeated = total < how.least  # then every round goes through all windows
-        drawn = stored(drawn_windows(training, self, share, how.rounds), "windows")
-        each = -(-int(total * share) // (1 if repeated else how.rounds))
-        groups = max(1, round(each / how.group))
+        dealt = stored(dealt_windows(training, self, how.rounds), "windows")
+        groups = max(1, round(total / how.rounds / how.group))
         for r in range(how.rounds):
             sent = spark.sparkContext.broadcast(self)
             rate = how.rate * (1 - r / how.rounds)
-            here = drawn.where(F.lit(repeated) | (F.col("round") == r)).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups)))
+            here = dealt.where(F.col("round") == r).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups)))
             sums = here.groupBy("g").applyInArrow(_trainer(sent, rate, r), _PIECES)
             parts = groups
             while parts > FAN_IN:
@@ -298,7 +294,7 @@ class AttentionLM:
             got = sums.groupBy("piece").applyInArrow(_summed, _PIECES).toArrow().sort_by("piece")
             if got.num_rows:
                 self.set_flat(np.concatenate([np.frombuffer(w.as_buffer(), np.float64) for w in got["w"]]) / got["n"][0].as_py())
-        discard(drawn)
+        discard(dealt)
         return self
 
 
@@ -323,11 +319,10 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def drawn_windows(training: DataFrame, model: AttentionLM, share: float, rounds: int) -> DataFrame:
-    """round int, h long, frame binary: the windows of all texts that are drawn by hash, a share of them."""
+def dealt_windows(training: DataFrame, model: AttentionLM, rounds: int) -> DataFrame:
+    """round int, h long, frame binary: all windows of all texts, dealt by hash."""
     sent = training.sparkSession.sparkContext.broadcast((model.start, model.none))
     kind = frame_type(model.n_ids)
-    below = np.uint64(min(2**64 - 1, int(share * 2**64)))
     cutter = AttentionLM.__new__(AttentionLM)
 
     def run(batches):
@@ -337,9 +332,10 @@ def drawn_windows(training: DataFrame, model: AttentionLM, share: float, rounds:
             lengths = np.array([len(x) for x in ids], np.int64)
             text, k = windows(lengths)
             hashes = mix(batch.column(0).to_numpy().view(np.uint64)[text] + mix(k.astype(np.uint64) + np.uint64(9)))
-            hit = np.flatnonzero(hashes <= below)
-            if len(hit):
-                h, f = mix(hashes[hit]), cutter.frames(np.concatenate(ids), lengths, hit).astype(kind)
+            flat = np.concatenate([*ids, np.zeros(0, kind)])
+            for a in range(0, len(text), PIECE):
+                some = slice(a, a + PIECE)
+                h, f = mix(hashes[some]), cutter.frames(flat, lengths, some).astype(kind)
                 rows = pa.array([x.tobytes() for x in f], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(((h >> np.uint64(40)) % np.uint64(rounds)).astype(np.int32)), pa.array(h.view(np.int64)), rows], ["round", "h", "frame"])
 
