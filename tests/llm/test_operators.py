@@ -10,9 +10,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import attention, bpe, decontam, graph, langid, licenses, lmscore, neardup, pii, quality, queries, secrets, tokencount
+from loomgraph.llm import attention, bpe, decontam, graph, langid, licenses, lmscore, neardup, pii, quality, queries, secrets, tokencount, wordtable
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, key string, bucket string"
@@ -550,3 +551,52 @@ def test_language_scores_do_not_depend_on_the_neighbours():
     texts = [b"short", b"x", b"", b"\xff\xfe\xfd\xfc" * 70, b"y" * 256, b"other text"]
     score = lambda ts: langid._document_scores(model, model.tables(), np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))
     assert np.allclose(score(texts), np.concatenate([score([t]) for t in texts])) and np.allclose(score(texts[::-1])[::-1], score(texts))
+
+
+@pytest.mark.parametrize("run", [16_000, 1_000, 100])
+def test_bpe_of_white_space_runs_is_exact_and_linear(run):
+    import time
+
+    import public_tokenizers
+
+    library = bpe._encoding(open(bpe.default_ranks(), "rb").read(), public_tokenizers.PATTERN)
+    text = (" " * run + "a") * (400_000 // run)
+    mixed = text[:50_000] + "\n" * 17_000 + "b" + "　\t" * 9_000 + " c" + " " * 17_000
+    assert bpe.encode_text(library, mixed).tolist() == library.encode_ordinary(mixed)
+    words_ = prose(60_000, 8)
+    library.encode_ordinary(words_[:1000])
+
+    def seconds(t):
+        best = 1e9
+        for _ in range(3):
+            began = time.process_time()
+            bpe.encode_text(library, t)
+            best = min(best, time.process_time() - began)
+        return best / len(t)
+
+    assert seconds(text) < 2 * seconds(words_)
+    assert library.decode_bytes(bpe.encode_text(library, mixed).tolist()).decode() == mixed
+
+
+def test_language_is_learned_from_rows_with_null_or_repeated_ids(spark, docs):
+    finnish = "talossa kissa juoksee yöllä metsään eikä palaa takaisin vaikka odotamme häntä pitkään "
+    rows = docs.select("doc_id", "text", "lang")
+    many = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(finnish), "id").alias("text"), F.lit("fi").alias("lang"))
+    again = many.select(F.lit(0).cast("long").alias("doc_id"), F.lit(finnish * 2).alias("text"), F.lit("fj").alias("lang"))
+    one = rows.unionByName(many).unionByName(again)
+    sample = langid.labelled_sample(one)
+    counts = Counter(lang for lang, _ in sample)
+    assert 100 < counts["fi"] <= 300 and counts["fj"] == 1 and set(counts) >= {"de", "en", "es", "fr"}
+    other = langid.labelled_sample(one.repartition(7))
+    assert [(lang, [w.tobytes() for w in x]) for lang, x in sample] == [(lang, [w.tobytes() for w in x]) for lang, x in other]
+
+
+def test_long_frequent_words_are_in_the_dictionary(spark):
+    rule, rare = "-" * 80, "=" * 90
+    rows = [(i, f"{rule} word {rule}") for i in range(50)] + [(99, rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = wordtable.count(df, lambda t: t.split())
+    assert wordtable.head(counts, "c") == {b"word": 50, wordtable.short_key(rule.encode()): 100, wordtable.short_key(rare.encode()): 1}
+    library = tokencount._tokenizer(open(tokencount.default_tokenizer(), encoding="utf-8").read())
+    got = by_id(tokencount.token_counts(df))
+    assert all(got[i]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids) for i, t in rows)
