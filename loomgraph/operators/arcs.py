@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.kmers import arc_slot, canonical, oriented, reverse_complement
+from loomgraph.functions.kmers import arc_slot, canonical, code, oriented, reverse_complement
 
 SATURATION = 255
 
@@ -18,8 +18,8 @@ SATURATION = 255
 PIECE = 1024
 
 
-def windows(reads: DataFrame, size: int) -> DataFrame:
-    """w binary: the larger strand of every window of size bases of the reads that are long enough.
+def windows(reads: DataFrame, size: int, *carry: str) -> DataFrame:
+    """w binary: the larger strand of every window of size bases of the reads that are long enough; and the columns to carry.
 
     Reads are cut into overlapping pieces first, and windows are cut from a piece's bytes and from those of its reverse
     complement, so that the cost of a window does not depend on the length of its read and no window is complemented by
@@ -27,11 +27,11 @@ def windows(reads: DataFrame, size: int) -> DataFrame:
     """
     long_enough = reads.where(F.length("seq") >= size)
     piece = F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1, F.lit(PIECE)))
-    pieces = long_enough.select("seq", piece.alias("at")).select(F.substring(F.col("seq"), F.col("at"), F.lit(PIECE + size - 1)).alias("s"))
-    strands = pieces.select(F.col("s").cast("binary").alias("f"), reverse_complement(F.col("s")).cast("binary").alias("r"), (F.length("s") - size).alias("last"))
-    at = strands.select("f", "r", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    pieces = long_enough.select("seq", *carry, piece.alias("at")).select(*carry, F.substring(F.col("seq"), F.col("at"), F.lit(PIECE + size - 1)).alias("s"))
+    strands = pieces.select(*carry, F.col("s").cast("binary").alias("f"), reverse_complement(F.col("s")).cast("binary").alias("r"), (F.length("s") - size).alias("last"))
+    at = strands.select(*carry, "f", "r", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     forth, back = F.substring(F.col("f"), F.col("i") + 1, F.lit(size)), F.substring(F.col("r"), F.col("last") - F.col("i") + 1, F.lit(size))
-    return at.select(F.greatest(forth, back).alias("w"))
+    return at.select(*carry, F.greatest(forth, back).alias("w"))
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
@@ -42,10 +42,14 @@ def count_arcs(reads: DataFrame, k: int) -> DataFrame:
     """kmer, arc_idx, mult (at most 255).
 
     An arc is a run of k+1 bases, seen from either strand. Counting the larger strand of each run halves the shuffle, and
-    both of its arcs follow by projection: no two runs give the same arc. A run that is its own reverse complement is one arc,
-    counted twice.
+    both of its arcs follow by projection: no two runs give the same arc.
     """
-    runs = windows(reads, k + 1).groupBy("w").agg(F.count("*").alias("n")).select(F.col("w").cast("string").alias("e"), "n")
+    return arcs_of(windows(reads, k + 1).groupBy("w").agg(F.count("*").alias("n")), k)
+
+
+def arcs_of(runs: DataFrame, k: int) -> DataFrame:
+    """kmer, arc_idx, mult of counted runs (w binary, the larger strand; n). One that is its own reverse complement is one arc, counted twice."""
+    runs = runs.select(F.col("w").cast("string").alias("e"), "n")
     runs = runs.select("e", reverse_complement(F.col("e")).alias("o"), "n")
     own = F.col("e") == F.col("o")
 
@@ -58,6 +62,15 @@ def count_arcs(reads: DataFrame, k: int) -> DataFrame:
     return runs.select(F.explode(F.when(own, F.array(arc("e", "o"))).otherwise(F.array(arc("e", "o"), arc("o", "e")))).alias("x")).select("x.*")
 
 
+def kmer_total(reads: DataFrame, arcs0: DataFrame, k: int) -> DataFrame:
+    """One row n_kmers: how many k-mers the reads have.
+
+    A k-mer of a read of more than k bases has an arc, so that only reads of just k bases can add to those of arcs0.
+    """
+    alone = windows(reads.where(F.length("seq") == k), k).select(F.col("w").cast("string").alias("kmer"))
+    return arcs0.select("kmer").unionByName(alone).distinct().agg(F.count("*").alias("n_kmers"))
+
+
 def histogram(arcs0: DataFrame, n_kmers: DataFrame, spark) -> DataFrame:
     """mult_bin 0 to 999 and n over all eight slots of all k-mers (one row n_kmers); 250 stands for 250 and more."""
     bins = arcs0.groupBy(F.least("mult", F.lit(250)).alias("mult_bin")).agg(F.count("*").alias("n"))
@@ -108,17 +121,35 @@ def graph_statistics(arcs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def twin_key(k: int) -> list[Column]:
-    """Where an arc's twin is: its node (t_src), its side (t_side: 0 for slots 0-3) and its string (t_seq)."""
+def _digest(string: Column) -> list[Column]:
+    """Two longs that stand for a string of any length in joins: two independent 64-bit hashes."""
+    return [F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2")]
+
+
+def _side(slot: Column, name: str) -> Column:
+    return F.when(slot < 4, 0).otherwise(1).alias(name)
+
+
+def twins(arcs: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame:
+    """src, arc_idx, t_src, t_idx: each arc (of those in of) with the first arc that leads back along the same string.
+
+    The two are found by node, side, length and 128 bits of hashes of their strings: no string is shuffled.
+    """
     back = F.substring(reverse_complement(F.concat(oriented(F.col("src"), F.col("arc_idx")), F.col("seq"))), k + 1, 1 << 30)
-    return [F.col("dst").alias("t_src"), F.when(F.col("dst_pos"), 1).otherwise(0).alias("t_side"), back.alias("t_seq")]
+    some = arcs if of is None else arcs.join(of.select("src", "arc_idx").distinct(), ["src", "arc_idx"], "left_semi")
+    asked = some.select("src", "arc_idx", F.col("dst").alias("t_src"), F.when(F.col("dst_pos"), 1).otherwise(0).alias("t_side"), "len", *_digest(back))
+    there = arcs.select(F.col("src").alias("t_src"), _side(F.col("arc_idx"), "t_side"), "len", *_digest(F.col("seq")), F.col("arc_idx").alias("t_idx"))
+    return asked.join(there, ["t_src", "t_side", "len", "h1", "h2"]).groupBy("src", "arc_idx", "t_src").agg(F.min("t_idx").alias("t_idx"))
+
 
+def unit_twins(arcs: DataFrame) -> DataFrame:
+    """src, arc_idx, t_src, t_idx of unit arcs: a projection, as the base before the last k names the twin's slot.
 
-def twins(arcs: DataFrame, k: int) -> DataFrame:
-    """src, arc_idx, t_src, t_idx: each arc with the first arc that leads back along the same string."""
-    asked = arcs.select("src", "arc_idx", *twin_key(k))
-    there = arcs.select(F.col("src").alias("t_src"), F.when(F.col("arc_idx") < 4, 0).otherwise(1).alias("t_side"), F.col("seq").alias("t_seq"), F.col("arc_idx").alias("t_idx"))
-    return asked.join(there, ["t_src", "t_side", "t_seq"]).groupBy("src", "arc_idx", "t_src").agg(F.min("t_idx").alias("t_idx"))
+    Both arcs of a run are counted together, so that neither passes a cutoff without the other.
+    """
+    start = F.left(oriented(F.col("src"), F.col("arc_idx")), F.lit(1))
+    slot = 3 - code(start) + F.when(F.col("dst_pos"), 4).otherwise(0)
+    return arcs.select("src", "arc_idx", F.col("dst").alias("t_src"), slot.cast("int").alias("t_idx"))
 
 
 def coverage(arcs: DataFrame) -> DataFrame:
@@ -142,7 +173,7 @@ def master_statistics(arcs: DataFrame, k: int) -> DataFrame:
     return coverage(arcs).crossJoin(per).crossJoin(multi)  # one row each
 
 
-def adjacency(arcs: DataFrame, k: int) -> DataFrame:
+def adjacency(arcs: DataFrame) -> DataFrame:
     """src, right_next and left_next: the neighbours on either side, sorted and joined with blanks."""
     side = lambda at: F.array_join(F.array_sort(F.collect_list(F.when(at, F.col("dst")))), " ")
     return arcs.groupBy("src").agg(side(F.col("arc_idx") < 4).alias("right_next"), side(F.col("arc_idx") >= 4).alias("left_next"))

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.kmers import oriented, reverse_complement
-from loomgraph.plans.session import discard, stored
+from loomgraph.plans.session import keep, scratch, stored, stored_count
 
 #: Bases that are joined at a time.
 BLOCK = 4096
+#: Rounds after which arcs that have ended are picked out anew.
+PICK = 3
 
 
 def survivors(arcs: DataFrame) -> DataFrame:
@@ -26,25 +28,31 @@ def survivors(arcs: DataFrame) -> DataFrame:
     return node.where((F.col("r") != 1) | (F.col("l") != 1) | (F.col("own") > 0)).select("src")
 
 
-def _rank(heads: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """id, head, dist of all arcs that reach a head; id of those that run in circles; and the tables behind both.
+def _rank(heads: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, head, dist of all arcs that reach a head; id of those that run in circles; and the links as stored.
 
     heads: id; links: id, ptr (the arc before), dist (the bases of that).
     """
-    done = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("dist"))
-    open_ = stored(links, "links")
-    tables, n = [open_], open_.count()
+    first, n = stored_count(links, "links")
+    open_ = first
+    ended = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("dist"))
+    # of what has ended, only what an open arc points to is looked up, so that rounds cost as much as there are open arcs; it
+    # is picked out every few rounds, as a round leaves at most half of a chain open
+    sought = lambda done: done.join(open_.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi")
+    live, turn = sought(ended), 0
     while n:
-        ahead = done.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("next"), F.col("dist").alias("_d"), "head")
+        ahead = live.select(F.col("id").alias("ptr"), F.lit(None).cast("long").alias("next"), F.col("dist").alias("_d"), "head")
         ahead = ahead.unionByName(open_.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("_d"), F.lit(None).cast("long").alias("head")))
-        moved = stored(open_.join(ahead, "ptr").select("id", "next", (F.col("dist") + F.col("_d")).alias("dist"), "head"), "rank")
-        tables.append(moved)
-        before, n = n, moved.where(F.col("head").isNull()).count()
+        before = n
+        moved, n = stored_count(open_.join(ahead, "ptr").select("id", "next", (F.col("dist") + F.col("_d")).alias("dist"), "head"), "rank", "head IS NULL")
         if n == before:
             break  # chains get shorter in every round, so only cycles are left
-        done = done.unionByName(moved.where(F.col("head").isNotNull()).select("id", "head", "dist"))
-        open_ = moved.where(F.col("head").isNull()).select("id", F.col("next").alias("ptr"), "dist")
-    return done, open_.select("id"), tables
+        done = moved.where(F.col("head").isNotNull()).select("id", "head", "dist")
+        ended, open_ = ended.unionByName(done), moved.where(F.col("head").isNull()).select("id", F.col("next").alias("ptr"), "dist")
+        live, turn = live.unionByName(done), turn + 1
+        if n and turn % PICK == 0:
+            live = stored(sought(live), "live")
+    return ended, open_.select("id"), first
 
 
 def _tops(rest: DataFrame) -> DataFrame:
@@ -53,36 +61,38 @@ def _tops(rest: DataFrame) -> DataFrame:
     while True:
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"))
         moved = state.join(ahead, "ptr").select("id", F.col("_ptr").alias("ptr"), F.greatest("top", "_top").alias("top"), (F.col("_top") > F.col("top")).alias("grew"))
-        after = stored(moved, "cycle")
-        discard(state)
-        state = after
-        if state.where("grew").isEmpty():
+        state, grew = stored_count(moved, "cycle", "grew")
+        if not grew:
             return state.select("id", "top")
 
 
-def _joined(order: str, string: str) -> Column:
+def joined(order: str, string: str) -> Column:
+    """seq: the strings of a group, in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, string))), lambda x: x[string]), "").alias("seq")
 
 
 def compact(arcs: DataFrame, k: int) -> DataFrame:
-    """arcs between the nodes that stay, each following a whole path."""
+    """A stored table of the arcs between the nodes that stay, each following a whole path."""
+    with scratch():
+        return keep(stored(_compacted(arcs), "compacted"))
+
+
+def _compacted(arcs: DataFrame) -> DataFrame:
     arcs = stored(arcs.withColumn("id", F.monotonically_increasing_id()), "arcs")
     stays = survivors(arcs).withColumn("stays", F.lit(True))
     end = F.when(F.col("dst_pos"), F.col("dst")).otherwise(reverse_complement(F.col("dst")))
     named = stored(arcs.join(stays, "src", "left").withColumns({"os": oriented(F.col("src"), F.col("arc_idx")), "od": end}), "named")
     into = named.select(F.col("od").alias("os"), F.col("id").alias("ptr"), F.col("len").alias("dist"))
     passed = named.where(F.col("stays").isNull()).select("id", "os").join(into, "os").select("id", "ptr", "dist")
-    ranked, cycles, tables = _rank(named.where(F.col("stays")).select("id"), passed)
+    ranked, cycles, links = _rank(named.where(F.col("stays")).select("id"), passed)
     if not cycles.isEmpty():
-        rest = tables[0].join(cycles, "id").join(named.select("id", "src"), "id")
+        rest = links.join(cycles, "id").join(named.select("id", "src"), "id")
         again = stored(rest.join(_tops(rest), "id"), "cycles")
         start = F.col("src") == F.col("top")
-        more, _, others = _rank(again.where(start).select("id"), again.where(~start).select("id", "ptr", "dist"))
-        ranked, tables = ranked.unionByName(more), [*tables, *others, again]
-    ranked = stored(ranked, "ranked")
-    discard(*tables)
+        more, _, _ = _rank(again.where(start).select("id"), again.where(~start).select("id", "ptr", "dist"))
+        ranked = ranked.unionByName(more)
     parts = named.join(ranked, "id")
     sums = [F.sum("len").alias("len"), F.sum("cov").alias("cov")]
-    blocks = parts.groupBy("head", F.floor(F.col("dist") / BLOCK).alias("block")).agg(_joined("dist", "seq"), *sums, F.max_by(F.struct("dst", "dst_pos"), "dist").alias("end"), F.min_by(F.struct("src", "arc_idx"), "dist").alias("start"))
-    paths = blocks.groupBy("head").agg(_joined("block", "seq"), *sums, F.max_by("end", "block").alias("end"), F.min_by("start", "block").alias("start"))
+    blocks = parts.groupBy("head", F.floor(F.col("dist") / BLOCK).alias("block")).agg(joined("dist", "seq"), *sums, F.max_by(F.struct("dst", "dst_pos"), "dist").alias("end"), F.min_by(F.struct("src", "arc_idx"), "dist").alias("start"))
+    paths = blocks.groupBy("head").agg(joined("block", "seq"), *sums, F.max_by("end", "block").alias("end"), F.min_by("start", "block").alias("start"))
     return paths.select("start.src", "start.arc_idx", "seq", "len", "cov", F.expr("cov div len").alias("mult"), "end.dst", "end.dst_pos")

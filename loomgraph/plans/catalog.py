@@ -5,6 +5,8 @@ The queries of single motif steps use k=19, at which all motifs occur; weak arcs
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from loomgraph.functions.kmers import partition_hash
 from loomgraph.operators import arcs as A
 from loomgraph.operators import clean
 from loomgraph.operators import contigs as C
+from loomgraph.operators import sketches as Sk
 from loomgraph.operators.compact import compact
-from loomgraph.plans import assembly
+from loomgraph.plans import assembly, views
 from loomgraph.plans.oracle import CUTOFF, MOTIF_K, ORACLE_SQL, PARTS_CUTOFF, K  # noqa: F401
-from loomgraph.plans.session import stored
+from loomgraph.plans.session import shared_dir, stored
+from loomgraph.sources import sinks
 from loomgraph.sources.reads import documents, from_text, spread
+from loomgraph.streaming import counts as S
 
 REFERENCE_LENGTH = 10_000
 
@@ -38,18 +43,55 @@ def _unit(spark, sf_dir):
 
 
 def _compacted(spark, sf_dir):
-    return stored(compact(_unit(spark, sf_dir), K), "compacted")
+    return compact(_unit(spark, sf_dir), K)
 
 
 def _histogram(spark, sf_dir):
-    kmers = A.kmer_counts(_spread(spark, sf_dir), K).agg(F.count("*").alias("n_kmers"))
-    return A.histogram(stored(_counted(spark, sf_dir), "counted"), kmers, spark)
+    reads, counted = _spread(spark, sf_dir), stored(_counted(spark, sf_dir), "counted")
+    return A.histogram(counted, A.kmer_total(reads, counted, K), spark)
+
+
+def _streamed(spark, sf_dir):
+    """The reads of documents, counted as a stream of the table's files."""
+    documents_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # a pattern that fits the table alone, whether it is a file or a folder
+    stream = spark.readStream.schema(documents_.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    S.stream_counts(from_text(stream, "doc_id", "text", K), K, f"{folder}/counts", f"{folder}/checkpoint")
+    return S.counted_arcs(spark, f"{folder}/counts", K)
+
+
+def _reloaded(spark, sf_dir):
+    path = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    sinks.graph_lines(_compacted(spark, sf_dir)).write.text(path)
+    return sinks.load_graph(spark, path, K)
+
+
+def _sketched(spark, sf_dir):
+    """Exact counts of the k-mers of each source, and whether those of the sketches are within the stated error."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    reads = spread(from_text(docs, "doc_id", "text", K, "source"))
+    told = Sk.overlaps(stored(Sk.sketches(reads, "source", K), "sketches"), "source")
+    each = stored(A.windows(reads, K, "source").distinct(), "kmers")
+    exact = each.groupBy("source").agg(F.count("*").alias("exact")).crossJoin(F.broadcast(each.agg(F.count_distinct("w").alias("exact_all"))))  # one row
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= Sk.ERROR * F.col(b)
+    met = told.join(exact, told["source"].eqNullSafe(exact["source"])).drop(exact["source"])
+    return met.select("source", F.col("exact").alias("n_kmers"), F.col("exact_all").alias("n_all"), near("n_kmers", "exact").alias("near"), near("n_all", "exact_all").alias("all_near"))
+
+
+def _asked(sql, upto):
+    """A query in SQL alone, over the views of an assembly."""
+
+    def run(spark, sf_dir):
+        views.register(_spread(spark, sf_dir), K, CUTOFF, upto)
+        return spark.sql(sql)
+
+    return run
 
 
 def _motifs(step):
     def run(spark, sf_dir):
-        arcs = stored(compact(assembly.graph(spread(documents(spark, sf_dir, MOTIF_K)), MOTIF_K, CUTOFF), MOTIF_K), "compacted")
-        return step(arcs, MOTIF_K)
+        return step(compact(assembly.graph(spread(documents(spark, sf_dir, MOTIF_K)), MOTIF_K, CUTOFF), MOTIF_K), MOTIF_K)
 
     return run
 
@@ -78,14 +120,25 @@ QUERIES = {
     "node_degree_class": lambda s, d: A.degrees(_unit(s, d)),
     "semi_extended_nodes": lambda s, d: A.degrees(_unit(s, d)).where("degree_class = 'semi_extended'").select("src"),
     "graph_statistics": lambda s, d: A.graph_statistics(_unit(s, d), K),
-    "neighbor_twin_join": lambda s, d: A.twins(stored(_unit(s, d), "arcs"), K),
-    "kmer_adjacency": lambda s, d: A.adjacency(_unit(s, d), K),
+    "neighbor_twin_join": lambda s, d: A.unit_twins(_unit(s, d)),
+    "kmer_adjacency": lambda s, d: A.adjacency(_unit(s, d)),
     "unique_sides": lambda s, d: A.unique_sides(_unit(s, d)),
     "edge_list": lambda s, d: A.edge_list(_unit(s, d)),
     "partition_histogram": lambda s, d: A.kmer_counts(_spread(s, d), K).groupBy((partition_hash(F.col("kmer")) % 24).alias("part")).agg(F.count("*").alias("n")),
     "compacted_arcs": _compacted,
     "contigs": _after(lambda a: C.contigs(a, K)),
     "contig_stats": _after(lambda a: C.statistics(stored(C.contigs(a, K), "contigs"), REFERENCE_LENGTH)),
+    "contig_numbers": _after(lambda a: C.numbered(C.contigs(a, K)).select("number", "name", "len", "offset")),
+    "nx_curve": _after(lambda a: C.nx_curve(stored(C.contigs(a, K), "contigs"))),
+    "graph_reloaded": _reloaded,
+    "arcs_streamed": _streamed,
+    "kmer_sketches": _sketched,
+    "sql_arc_slots": _asked("SELECT arc_idx, count(*) AS n, sum(mult) AS total FROM arcs0 GROUP BY arc_idx", "arcs0"),
+    "sql_first_arcs": _asked(
+        f"""SELECT kmer, arc_idx, n, mult FROM (
+          SELECT canonical(left(seq, {K})) AS kmer, arc_slot(substr(seq, {K + 1}, 1), left(seq, {K}) >= revcomp(left(seq, {K}))) AS arc_idx, count(*) AS n
+          FROM reads WHERE length(seq) > {K} GROUP BY ALL) JOIN arcs0 USING (kmer, arc_idx)""", "arcs0"),
+    "sql_contig_ends": _asked(f"SELECT name, canonical(left(seq, {K})) AS first_kmer, canonical(right(seq, {K})) AS last_kmer, revcomp(seq) < seq AS turned FROM contigs", "contigs"),
     "tips_removed": lambda s, d: _short(clean.remove_tips(stored(_unit(s, d), "arcs"), K)),
     "low_coverage_removed": _weak,
     "master_statistics": _after(lambda a: A.master_statistics(a, K)),
@@ -94,5 +147,6 @@ QUERIES = {
     "loop_unroll": _motifs(clean.unroll_loops),
     "repeat_linearise": _motifs(clean.linearise_repeats),
     "cross_edge": _motifs(clean.resolve_cross_edges),
+    "cross_node": _motifs(clean.split_crossings),
     "assemble_full": lambda s, d: assembly.assemble(_spread(s, d), K, CUTOFF),
 }

@@ -155,6 +155,14 @@ m AS (SELECT x.src AS motif, x.b.mult AS weight, [x.src, y.src, x.low.dst, x.hig
 grown AS ({_walks("low", "high")}),
 gone AS (SELECT c.src, c.arc_idx FROM compacted c WHERE c.src IN (SELECT x_src FROM win UNION SELECT y.src FROM win))"""
 
+CROSSINGS = f"""{MOTIF.COMPACT}, {MOTIF.COMPACT_TWIN},
+sides AS (SELECT src, list(t ORDER BY mult, arc_idx) FILTER (side = 0) AS r, list(t ORDER BY mult, arc_idx) FILTER (side = 1) AS l FROM t
+  GROUP BY src HAVING count(*) = 4 AND count(*) FILTER (dst = src) = 0 AND count(*) FILTER (side = 0) = 2 AND count(t_idx) = 4),
+m AS (SELECT src AS motif, greatest(r[2].mult, l[2].mult) AS weight, [src, r[1].dst, r[2].dst, l[1].dst, l[2].dst] AS nodes, r, l FROM sides), {MOTIF.FIRST},
+walks AS (SELECT unnest([r[1], r[2], l[1], l[2]]) AS a, unnest([l[1], l[2], r[1], r[2]]) AS b FROM win),
+grown AS (SELECT a.dst AS src, a.t_idx AS arc_idx, a.t_seq || b.seq AS seq, a.len + b.len AS len, a.cov + b.cov AS cov, (a.cov + b.cov) // (a.len + b.len) AS mult FROM walks),
+gone AS (SELECT c.src, c.arc_idx FROM compacted c WHERE c.src IN (SELECT motif FROM win))"""
+
 _PACKED = " + ".join(f"(instr('ACGT', substr(small, {K - j}, 1)) - 1) * {4 ** (j % 4) * 19 ** ((K + 3) // 4 - 1 - j // 4)}" for j in range(K))
 
 
@@ -188,6 +196,27 @@ ORACLE_SQL = {
         f"{AT.CONTIGS}, c AS (SELECT len, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY len DESC) AS r FROM contigs WHERE len >= 200)",
         "SELECT count(*) AS contig_num, CAST(coalesce(sum(len), 0) AS BIGINT) AS total_len, max(len) FILTER (upto > (SELECT sum(len) FROM c) // 2) AS n50, max(len) FILTER (upto > 5000) AS ng50, max(len) AS max_len, max(len) FILTER (r > (SELECT count(*) FROM c) // 2) AS median_len FROM c",
     ),
+    "contig_numbers": q(
+        f"{AT.CONTIGS}, n AS (SELECT name, seq, len, row_number() OVER (ORDER BY len DESC, seq, name) AS number FROM contigs), r AS (SELECT *, name || '_' || number AS full_name FROM n)",
+        "SELECT number, full_name AS name, len, CAST(coalesce(sum(length(full_name) + len + 3) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM r",
+    ),
+    "nx_curve": q(
+        f"{AT.CONTIGS}, c AS (SELECT len, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY len DESC) AS r FROM contigs WHERE len >= 200), x AS (SELECT CAST(x AS INTEGER) AS x FROM range(10, 100, 10) t(x))",
+        "SELECT x, max(len) FILTER (upto > (SELECT sum(len) FROM c) * x // 100) AS nx, min(r) FILTER (upto > (SELECT sum(len) FROM c) * x // 100) AS lx FROM x LEFT JOIN c ON true GROUP BY x",
+    ),
+    "graph_reloaded": q(AT.COMPACT, "SELECT * REPLACE (mult * len AS cov) FROM compacted"),
+    "arcs_streamed": q(AT.ARCS0, "SELECT * FROM arcs0"),
+    "kmer_sketches": q(
+        AT.READS.replace("SELECT doc_id AS doc_id", "SELECT source, doc_id AS doc_id").replace("SELECT doc_id || '/'", "SELECT source, doc_id || '/'")
+        + f", occ AS (SELECT DISTINCT source, greatest(w, {rc('w')}) AS kmer FROM (SELECT source, substr(seq, i, {K}) AS w FROM (SELECT source, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM reads)))",
+        "SELECT source, count(*) AS n_kmers, (SELECT count(DISTINCT kmer) FROM occ) AS n_all, true AS near, true AS all_near FROM occ GROUP BY source",
+    ),
+    "sql_arc_slots": q(AT.ARCS0, "SELECT arc_idx, count(*) AS n, CAST(sum(mult) AS BIGINT) AS total FROM arcs0 GROUP BY arc_idx"),
+    "sql_first_arcs": q(
+        f"{AT.ARCS0}, f AS (SELECT substr(seq, 1, {K}) AS w, substr(seq, {K + 1}, 1) AS b FROM reads WHERE length(seq) > {K})",
+        f"SELECT kmer, arc_idx, n, mult FROM (SELECT greatest(w, {rc('w')}) AS kmer, CAST(instr('ACGT', b) - 1 + CASE WHEN w >= {rc('w')} THEN 0 ELSE 4 END AS INTEGER) AS arc_idx, count(*) AS n FROM f GROUP BY ALL) JOIN arcs0 USING (kmer, arc_idx)",
+    ),
+    "sql_contig_ends": q(AT.CONTIGS, f"SELECT name, greatest(left(seq, {K}), {rc(f'left(seq, {K})')}) AS first_kmer, greatest(right(seq, {K}), {rc(f'right(seq, {K})')}) AS last_kmer, {rc('seq')} < seq AS turned FROM contigs"),
     "tips_removed": q(
         f"{AT.ARCS}, {AT.TWIN}, tip AS (SELECT src, any_value(arc_idx) AS arc_idx FROM arcs GROUP BY src HAVING count(*) = 1 AND any_value(dst) <> src), "
         "gone AS (SELECT src, arc_idx FROM tip UNION SELECT t_src, t_idx FROM twin JOIN tip USING (src, arc_idx))",
@@ -210,4 +239,5 @@ ORACLE_SQL = {
     "loop_unroll": q(LOOPS, MOTIF.EDITED),
     "repeat_linearise": q(REPEATS, MOTIF.EDITED),
     "cross_edge": q(CROSSES, MOTIF.EDITED),
+    "cross_node": q(CROSSINGS, MOTIF.EDITED),
 }

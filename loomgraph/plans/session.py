@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,22 +57,88 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def freed(spark: SparkSession):
+    """Inside the block, the shuffle files of a query go as soon as it has its result."""
+    return setting(spark, _CLEANUP, "true")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     This cuts the lineage with files that outlive any executor, so the shuffles behind them go as soon as they are
-    written. Column pruning and filters reach those files.
+    written. Column pruning and filters reach those files. Inside scratch(), the files go when that ends.
     """
+    return _stored(df, name)
+
+
+def stored_count(df: DataFrame, name: str, where: str = "true") -> tuple[DataFrame, int]:
+    """stored() and the number of rows that meet a condition, counted while they are written."""
+    seen = Observation()
+    return _stored(df.observe(seen, F.count_if(F.expr(where)).alias("n")), name), seen.get["n"]
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with setting(spark, _CLEANUP, "true"):
+    with freed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if open_ := _scopes():
+        open_[-1].append(out)
+    return out
+
+
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Frees, when it ends, the tables stored inside, but for those given to keep()."""
+    _scopes().append([])
+    try:
+        yield
+    except BaseException:
+        _scopes().pop()
+        raise
+    discard(*_scopes().pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, a table stored inside scratch(), left to the scope around it, if there is one."""
+    open_ = _scopes()
+    for at in range(len(open_) - 1, -1, -1):
+        if any(x is df for x in open_[at]):
+            open_[at] = [x for x in open_[at] if x is not df]
+            if at:
+                open_[at - 1].append(df)
+            break
+    return df
+
+
+def _folder(df: DataFrame) -> tuple | None:
+    """The file system and path of a table from stored(); None once it has no files."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rsplit("/", 1)[0]))
+    return path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table from stored()."""
+    found = _folder(df)
+    return found[0].getContentSummary(found[1]).getLength() if found else 0
 
 
 def discard(*frames: DataFrame | None) -> None:
-    """Frees the space of tables from stored() that nothing will read again, by writing empty ones over them."""
+    """Deletes the files of tables from stored() that nothing will read again."""
     for df in frames:
-        files = df.inputFiles() if df is not None else []
-        if files:
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+        if df is not None and (found := _folder(df)):
+            found[0].delete(found[1], True)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions.kmers import sanitized, text_to_bases
 
 
-def from_text(df: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
-    """One read a line of text; lines shorter than k go. A null text has no line."""
-    lines = df.select(F.col(id_column).cast("string").alias("_id"), F.posexplode(F.split(text_column, "\n")).alias("line", "t"))
-    reads = lines.select(F.concat_ws("/", "_id", F.col("line").cast("string")).alias("read_id"), text_to_bases(F.col("t")).alias("seq"))
+def from_text(df: DataFrame, id_column: str, text_column: str, k: int, *carry: str) -> DataFrame:
+    """One read a line of text, with the columns to carry; lines shorter than k go. A null text has no line."""
+    lines = df.select(*carry, F.col(id_column).cast("string").alias("_id"), F.posexplode(F.split(text_column, "\n")).alias("line", "t"))
+    reads = lines.select(*carry, F.concat_ws("/", "_id", F.col("line").cast("string")).alias("read_id"), text_to_bases(F.col("t")).alias("seq"))
     return reads.where(F.length("seq") >= k)
 
 

@@ -1,18 +1,48 @@
-"""Arcs counted over a stream of reads, in update mode: each micro-batch adds to the counts so far."""
+"""Arcs counted over a stream of reads, into a durable table.
+
+A stream keeps the count of every run so far in its state store, and each micro-batch hands on the counts that grew. They
+are written as a folder of their batch, so that a batch that is run again after a failure replaces what it left behind. As
+counts only grow, the largest count of a run is the current one, whatever order or how often batches were written; merge()
+makes one folder of all of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.kmers import arc_slot, canonical, is_canonical, reverse_complement
-from loomgraph.operators.arcs import SATURATION, windows
+from loomgraph.operators.arcs import arcs_of, windows
+
+_RUNS = "w binary, n long"
+_BATCH = "batch"
+
+
+def count_runs(reads: DataFrame, k: int) -> DataFrame:
+    """w binary, n: how often each run of k+1 bases (its larger strand) was seen, of a streaming or batch table of reads."""
+    return windows(reads, k + 1).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def upsert(rows: DataFrame, batch: int, target: str) -> None:
+    """Writes the counts that a batch changed, in the place of what an earlier try of it wrote."""
+    rows.write.mode("overwrite").parquet(f"{target}/{_BATCH}={batch}")
+
+
+def stream_counts(reads: DataFrame, k: int, target: str, checkpoint: str, write=upsert) -> None:
+    """Counts all that a stream of reads has to offer now, and returns; called again, it goes on where it ended."""
+    started = count_runs(reads, k).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    started.foreachBatch(lambda rows, batch: write(rows, batch, target)).start().awaitTermination()
+
+
+def counted_runs(spark: SparkSession, target: str) -> DataFrame:
+    """w, n of all batches so far."""
+    return spark.read.schema(f"{_RUNS}, {_BATCH} long").parquet(target).groupBy("w").agg(F.max("n").alias("n"))
+
+
+def counted_arcs(spark: SparkSession, target: str, k: int) -> DataFrame:
+    """kmer, arc_idx, mult of all batches so far."""
+    return arcs_of(counted_runs(spark, target), k)
 
 
-def count_arcs(reads: DataFrame, k: int) -> DataFrame:
-    """kmer, arc_idx, mult of a streaming (or batch) table of reads."""
-    runs = windows(reads, k + 1).select(F.col("w").cast("string").alias("w"))
-    both = runs.select(F.explode(F.array(F.col("w"), reverse_complement(F.col("w")))).alias("e"))
-    start = F.substring(F.col("e"), 1, k)
-    arcs = both.select(canonical(start).alias("kmer"), arc_slot(F.right("e", F.lit(1)), is_canonical(start)).alias("arc_idx"))
-    return arcs.groupBy("kmer", "arc_idx").agg(F.least(F.count("*"), F.lit(SATURATION)).cast("long").alias("mult"))
+def merge(spark: SparkSession, target: str, into: str) -> None:
+    """One folder with the counts of all batches so far, as a batch of its own under another target."""
+    upsert(counted_runs(spark, target), 0, into)

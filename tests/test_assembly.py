@@ -1,6 +1,8 @@
 """Hand-built graphs, properties of the arc table, and the queries against DuckDB."""
 
 import random
+import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -10,11 +12,12 @@ from loomgraph.functions import kmers as K
 from loomgraph.operators import arcs as A
 from loomgraph.operators import clean
 from loomgraph.operators import contigs as C
+from loomgraph.operators import sketches as Sk
 from loomgraph.operators.compact import compact
-from loomgraph.plans import catalog
+from loomgraph.plans import catalog, views
 from loomgraph.plans.assembly import assemble, contig_statistics, graph, main
 from loomgraph.plans.params import Params, parse
-from loomgraph.plans.session import shared_dir
+from loomgraph.plans.session import keep, scratch, shared_dir, stored, stored_count, table_bytes
 from loomgraph.sources import reads as R
 from loomgraph.sources import sinks
 from loomgraph.streaming import counts as S
@@ -56,7 +59,7 @@ def test_counts_follow_windows_and_strands(spark):
     got = rows(A.count_arcs(reads_of(spark, *seqs), 5), "kmer", "arc_idx", "mult")
     assert got == sorted((*k, n) for k, n in want.items())
     assert got == rows(A.count_arcs(reads_of(spark, *map(rc, seqs)), 5), "kmer", "arc_idx", "mult")
-    assert got == rows(S.count_arcs(reads_of(spark, *seqs), 5), "kmer", "arc_idx", "mult")
+    assert got == rows(A.arcs_of(S.count_runs(reads_of(spark, *seqs), 5), 5), "kmer", "arc_idx", "mult")
 
 
 def test_saturation_and_short_reads(spark):
@@ -159,24 +162,136 @@ def test_partition_hash_is_over_packed_bytes(spark):
     assert spark.range(1).select(K.partition_hash(F.lit(kmer))).first()[0] == want
 
 
-def test_stream_equals_batch_after_two_batches(spark, tmp_path):
-    first, second = [random_dna(60, i) for i in (50, 51)], [random_dna(60, i) for i in (51, 52)]
+def test_stream_goes_on_after_a_killed_batch(spark, tmp_path):
+    parts = [[random_dna(60, i) for i in (50, 51)], [random_dna(60, i) for i in (51, 52)], [random_dna(60, i) for i in (52, 53)]]
     (tmp_path / "in").mkdir()
-    for name, seqs in (("a", first), ("b", second)):
-        reads_of(spark, *seqs).coalesce(1).write.json(str(tmp_path / name))
-        next(p for p in (tmp_path / name).iterdir() if p.suffix == ".json").rename(tmp_path / "in" / f"{name}.json")
-    stream = spark.readStream.schema("read_id string, seq string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    state = {}
-    sizes = []
 
-    def merge(batch, number):
-        new = {(r["kmer"], r["arc_idx"]): r["mult"] for r in batch.collect()}
-        sizes.append(len(new))
-        state.update(new)
+    def offer(*numbers):
+        for n in numbers:
+            reads_of(spark, *parts[n]).coalesce(1).write.json(str(tmp_path / f"part{n}"))
+            next(p for p in (tmp_path / f"part{n}").iterdir() if p.suffix == ".json").rename(tmp_path / "in" / f"{n}.json")
+
+    def run(write=S.upsert):
+        stream = spark.readStream.schema("read_id string, seq string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        S.stream_counts(stream, 21, f"{tmp_path}/counts", f"{tmp_path}/checkpoint", write)
+
+    def killed(batch_rows, batch, target):
+        S.upsert(batch_rows.selectExpr("w", "n + 1000 AS n") if batch == 1 else batch_rows, batch, target)
+        if batch == 1:
+            raise RuntimeError("killed")
+
+    offer(0, 1)
+    with pytest.raises(Exception, match="killed"):
+        run(killed)
+    run()  # the batch that was killed is run again, in the place of what it left
+    whole = lambda n: rows(A.count_arcs(reads_of(spark, *sum(parts[:n], [])), 21))
+    assert rows(S.counted_arcs(spark, f"{tmp_path}/counts", 21)) == whole(2)
+    offer(2)
+    run()
+    S.merge(spark, f"{tmp_path}/counts", f"{tmp_path}/merged")
+    assert rows(S.counted_arcs(spark, f"{tmp_path}/counts", 21)) == rows(S.counted_arcs(spark, f"{tmp_path}/merged", 21)) == whole(3)
+
+
+def test_running_numbers_are_those_of_the_whole_order(spark):
+    rng = random.Random(60)
+    seqs = ["".join(rng.choices("ACGT", k=rng.choice([3, 5, 5, 8, 300, 400]))) for _ in range(400)] + ["ACGTA"] * 30
+    df = spark.createDataFrame([(f"c{i}", s, len(s)) for i, s in enumerate(seqs)], "name string, seq string, len long").repartition(6)
+    got = sorted(C.numbered(df).collect(), key=lambda r: r["number"])
+    want = sorted(((f"c{i}", s) for i, s in enumerate(seqs)), key=lambda x: (-len(x[1]), x[1], x[0]))
+    at = 0
+    for n, ((name, s), r) in enumerate(zip(want, got, strict=True), 1):
+        assert (r["number"], r["name"], r["seq"], r["offset"]) == (n, f"{name}_{n}", s, at)
+        at += len(f">{name}_{n}\n{s}\n")
+    lengths = sorted((len(s) for s in seqs if len(s) >= 200), reverse=True)
+    curve = {r["x"]: (r["nx"], r["lx"]) for r in C.nx_curve(df).collect()}
+    for x in range(10, 100, 10):
+        upto = 0
+        for n, length in enumerate(lengths, 1):
+            upto += length
+            if upto > sum(lengths) * x // 100:
+                break
+        assert curve[x] == (length, n)
+    assert C.statistics(df, 1000).first()["n50"] == curve[50][0]
+    empty = df.limit(0)
+    assert C.numbered(empty).count() == 0 and {(r["nx"], r["lx"]) for r in C.nx_curve(empty).collect()} == {(None, None)}
+
+
+def test_unit_twins_are_the_joined_ones_without_a_join(spark):
+    arcs = graph(reads_of(spark, *[random_dna(80, i) for i in range(6)], "ACGTACGTACGTAC"), 7, 1)
+    assert rows(A.unit_twins(arcs)) == rows(A.twins(arcs, 7))
+    plan = A.unit_twins(arcs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_no_arc_string_is_shuffled_for_twins_and_motifs(spark):
+    arcs = compact(graph(reads_of(spark, *[random_dna(80, i) for i in range(6)]), 21, 1), 21)
+    for step in (A.twins(arcs, 21), clean._triples(arcs), clean._shape(arcs)):
+        lines = step._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        for line in lines:
+            if line.strip(" +-:").startswith(("Join", "Aggregate")):
+                assert "seq#" not in line, line
+
+
+def test_tables_of_a_scope_go_when_it_ends(spark):
+    with scratch():
+        a = stored(spark.range(5).toDF("x"), "a")
+        with scratch():
+            b, n = stored_count(spark.range(7).toDF("x"), "b", "x > 2")
+            c = keep(stored(spark.range(3).toDF("x"), "c"))
+        assert n == 4 and c.count() == 3 and a.count() == 5
+        path = b.inputFiles()[0].removeprefix("file://")
+        assert not Path(path).exists() and table_bytes(c) > 0
+    assert not Path(c.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_assembly_goes_on_from_a_graph_file(spark, tmp_path):
+    genome = random_dna(400, 22)
+    reads = [genome[i : i + 100] for i in range(0, 301, 20)] * 4 + [genome[100:160] + random_dna(25, 23)]
+    (tmp_path / "in.fa").write_text("".join(f">{i}\n{r}\n" for i, r in enumerate(reads)))
+    main(spark, ["-k", "21", "-c", "1", "-i", str(tmp_path / "in.fa"), "-o", str(tmp_path / "a"), "-d"])
+    main(spark, ["-k", "21", "-r", str(tmp_path / "a/contigGraph.txt"), "-o", str(tmp_path / "b"), "-x"])
+    lines = lambda at: sorted(r[0] for r in spark.read.text(str(tmp_path / at / "CEContig.fasta")).collect())
+    # the file holds multiplicities, not the coverages they were rounded from, so that those of joined arcs may differ by one
+    bare = lambda at: [re.sub("_Mul[0-9]+", "", x) for x in lines(at)]
+    assert bare("a") == bare("b") and any(x.endswith("_1") for x in lines("a"))
+    arcs = sinks.load_graph(spark, str(tmp_path / "a/contigGraph.txt"), 21)
+    assert arcs.where("cov != mult * len").count() == 0
+    with pytest.raises(ValueError, match="21 bases|23 bases"):
+        sinks.load_graph(spark, str(tmp_path / "a/contigGraph.txt"), 23)
+    sinks.graph_lines(arcs.limit(1)).write.text(str(tmp_path / "torn"))
+    with pytest.raises(ValueError, match="1 arcs without a twin"):
+        sinks.load_graph(spark, str(tmp_path / "torn"), 21)
+
+
+def test_crossing_node_is_split_by_multiplicity(spark):
+    mid = "C" + random_dna(19, 30) + "G"  # one node at k = 21
+    p, q = random_dna(100, 31) + "A" + mid + "A" + random_dna(100, 32), random_dna(100, 33) + "T" + mid + "T" + random_dna(100, 34)
+    arcs = compact(graph(reads_of(spark, *[p] * 9, *[q] * 3), 21, 1), 21)
+    assert arcs.groupBy("src").count().where("count = 4").count() == 1
+    after = clean.split_crossings(arcs, 21)
+    assert A.twins(after, 21).count() == after.count()
+    assert {r["seq"] for r in C.contigs(after, 21).collect()} <= {p, rc(p), q, rc(q)} and C.contigs(after, 21).count() == 2
+    kept = assemble(reads_of(spark, *[p] * 9, *[q] * 3), 21, 1)
+    assert kept.count() == 4 and assemble(reads_of(spark, *[p] * 9, *[q] * 3), 21, 1, split=True).count() == 2
+
+
+def test_sketches_merge_and_tell_overlaps(spark):
+    one, two = [random_dna(3000, i) for i in (70, 71)], [random_dna(3000, i) for i in (71, 72)]
+    reads = spark.createDataFrame([(g, str(i), s) for g, seqs in (("a", one), ("b", two), ("c", one + two)) for i, s in enumerate(seqs)], "g string, read_id string, seq string")
+    sketched = Sk.sketches(reads, "g", 21)
+    told = {r["g"]: r for r in Sk.overlaps(sketched, "g").collect()}
+    exact = {g: len({max(s[i : i + 21], rc(s[i : i + 21])) for s in seqs for i in range(len(s) - 20)}) for g, seqs in (("a", one), ("b", two), ("c", one + two))}
+    assert all(abs(told[g]["n_kmers"] - n) <= Sk.ERROR * n and abs(told[g]["n_all"] - exact["c"]) <= Sk.ERROR * exact["c"] for g, n in exact.items())
+    shared = {r["g"]: r["shared"] for r in Sk.containment(sketched, "g", sketched.where("g = 'a'")).collect()}
+    assert abs(shared["a"] - 1) < 0.03 and abs(shared["b"] - 0.5) < 0.03 and abs(shared["c"] - 2 / 3) < 0.03
+
 
-    query = S.count_arcs(stream, 21).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination(120)
-    assert len(sizes) == 2 and state == {(r["kmer"], r["arc_idx"]): r["mult"] for r in A.count_arcs(reads_of(spark, *first, *second), 21).collect()}
+def test_sql_functions(spark):
+    views.functions(spark)
+    assert tuple(spark.sql("SELECT canonical('AAC'), revcomp('AACG'), arc_slot('G', true), arc_slot('A', false)").first()) == ("GTT", "CGTT", 2, 4)
+    views.register(reads_of(spark, *[random_dna(200, 80)] * 3), 21, 2, "removed")
+    assert spark.sql("SELECT count(*) FROM arcs JOIN contigs ON canonical(left(contigs.seq, 21)) = arcs.src").first()[0] == 1
+    assert spark.table("removed").count() == 0 and spark.table("compacted").count() == 2
 
 
 def test_tables_and_contig_files(spark, tmp_path):
@@ -240,8 +355,12 @@ def test_command_line(spark, tmp_path):
     assert genome in text or rc(genome) in text
     lines = [r[0] for r in spark.read.text(str(tmp_path / "out/arcFrequency.txt")).collect()]
     assert len(lines) == 1000 and sum(map(int, lines)) == 8 * 280
-    stages = {r["stage"]: r["n_rows"] for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
-    assert stages["compacted"] == 2 and "contigs" in stages
+    stages = {r["stage"]: r for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
+    assert stages["compacted"]["n_rows"] == 2 and stages["arcs counted"]["n_rows"] == 558 and stages["arcs counted"]["n_bytes"] > 0 and "contigs" in stages
+    edges = [r[0].split("\t") for r in spark.read.text(str(tmp_path / "out/JungGraph_arc.txt")).collect()]
+    assert len(edges) == 2 and edges[0][:2] == edges[1][1::-1] and edges[0][2] == "279"
+    main(spark, ["-k", "21", "-c", "1", "-i", str(tmp_path / "in.fa"), "-o", str(tmp_path / "s"), "-s"])
+    assert spark.read.text(str(tmp_path / "s/kmerGraph.txt")).count() == 280
     with pytest.raises(ValueError, match="odd"):
         Params(k=22)
     assert parse(["-i", "a", "-o", "b"]).k == 23
