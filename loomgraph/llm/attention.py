@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import encode_text
 from loomgraph.llm.common import mix, small_batches
-from loomgraph.plans.session import discard, stored
+from loomgraph.plans.session import discard, freed, stored
 
 WINDOW = 64
 STEP = 48
@@ -56,7 +56,7 @@ class Training:
     """rounds: how often weights are averaged; group: windows that train one after another, about; rate: of the first round."""
 
     rounds: int = 6
-    group: int = 6144
+    group: int = 24_576
     rate: float = 0.01
 
 
@@ -291,7 +291,8 @@ class AttentionLM:
             while parts > FAN_IN:
                 parts = -(-parts // FAN_IN)
                 sums = sums.withColumn("g", F.col("g") % parts).groupBy("piece", "g").applyInArrow(_summed, _PIECES)
-            got = sums.groupBy("piece").applyInArrow(_summed, _PIECES).toArrow().sort_by("piece")
+            with freed(spark):
+                got = sums.groupBy("piece").applyInArrow(_summed, _PIECES).toArrow().sort_by("piece")
             if got.num_rows:
                 self.set_flat(np.concatenate([np.frombuffer(w.as_buffer(), np.float64) for w in got["w"]]) / got["n"][0].as_py())
         discard(dealt)
