@@ -66,7 +66,12 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row for each part, order and step; see the contract of its columns in the README."""
+    """A row for each part, order of the filters and step in it, whose filter is the order's letter there.
+
+    kept: documents of the part after the step; removed: by it; redundant: that fail its filter but went before;
+    unique_fails: that fail no other filter; good_lost, toxic_lost: removed ones that are labelled so; shapley: removed by its
+    filter, at any step, summed over all orders.
+    """
     parts = cells(docs, labels).groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))  # 32 at most
     ordered = parts.select("part", "cells", F.explode(F.split(F.lit(" ".join(ORDERS)), " ")).alias("filter_order"))
     steps = ordered.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))

@@ -600,3 +600,24 @@ def test_long_frequent_words_are_in_the_dictionary(spark):
     library = tokencount._tokenizer(open(tokencount.default_tokenizer(), encoding="utf-8").read())
     got = by_id(tokencount.token_counts(df))
     assert all(got[i]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids) for i, t in rows)
+
+
+@pytest.mark.parametrize("crowded_from", [None, 4096])
+def test_near_duplicates_among_texts_that_share_a_passage(spark, crowded_from):
+    # 320 texts share three quarters of their words, and 40 pairs of them far more
+    rng = random.Random(12)
+    shared = prose(120, 500).split()
+    texts = []
+    for i in range(320):
+        own = prose(40, 1000 + i).split()
+        texts.append(" ".join(shared + own))
+        if i % 8 == 0:
+            texts.append(" ".join(shared + own[:-2] + ["changed", "words"]))
+    order = rng.sample(range(len(texts)), len(texts))
+    df = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    place = {k: i for i, k in enumerate(order)}
+    want = {i: i for i in range(len(texts))}
+    for k, t in enumerate(texts):
+        if t.endswith("changed words"):
+            want[place[k]] = want[place[k - 1]] = min(place[k], place[k - 1])
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classify(df, crowded_from).collect()} == want
