@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, decontam, langid, neardup, pii
 from loomgraph.llm.common import table
-from loomgraph.plans.session import stored
+from loomgraph.plans.session import discard, keep, scratch, stored
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # what a stage keeps for itself goes with it
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(before)
+        before = docs
     return docs
