@@ -13,7 +13,7 @@ from loomgraph.operators import clean
 from loomgraph.operators.compact import compact
 from loomgraph.operators.contigs import contigs, longest_first, numbered, statistics
 from loomgraph.plans.params import Params, parse
-from loomgraph.plans.session import keep, scratch, stored, stored_count, table_bytes
+from loomgraph.plans.session import keep, scratch, shuffled_bytes, stored, stored_count, table_bytes
 from loomgraph.sources import sinks
 from loomgraph.sources.reads import contig_lengths, from_fasta, spread
 from loomgraph.sources.sinks import load_graph
@@ -80,22 +80,23 @@ def contig_statistics(spark: SparkSession, path: str, reference_length: int) ->
 def main(spark: SparkSession, argv: list[str]) -> None:
     """Assembles FASTA reads, or a graph written before, into the output folder; metrics tell how it went.
 
-    Rows are counted while tables are written, and bytes are those of the tables.
+    Rows are counted while tables are written; bytes are those of the tables, and those written to shuffles by each stage.
     """
     p: Params = parse(argv)
     with scratch():
         metrics = _run(spark, p)
-    told = spark.createDataFrame(metrics, "stage string, seconds double, n_rows long, n_bytes long")
+    told = spark.createDataFrame(metrics, "stage string, seconds double, n_rows long, n_bytes long, n_shuffled long")
     told.coalesce(1).write.json(f"{p.output}/metrics")
 
 
 def _run(spark: SparkSession, p: Params) -> list[tuple]:
-    metrics, began = [], time.time()
+    metrics, began, moved = [], time.time(), shuffled_bytes(spark)
 
     def ended(stage: str, n: int | None = None, table: DataFrame | None = None) -> None:
-        nonlocal began
-        metrics.append((stage, round(time.time() - began, 3), n, table_bytes(table) if table is not None else None))
-        began = time.time()
+        nonlocal began, moved
+        now = shuffled_bytes(spark)
+        metrics.append((stage, round(time.time() - began, 3), n, table_bytes(table) if table is not None else None, now - moved))
+        began, moved = time.time(), now
 
     if p.resume:
         arcs = load_graph(spark, p.resume, p.k)

@@ -137,6 +137,14 @@ def table_bytes(df: DataFrame) -> int:
     return found[0].getContentSummary(found[1]).getLength() if found else 0
 
 
+def shuffled_bytes(spark: SparkSession) -> int:
+    """Bytes that all executors have written to shuffles so far, by Spark's own record of the application."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    each = context.statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes the files of tables from stored() that nothing will read again."""
     for df in frames:

@@ -356,7 +356,7 @@ def test_command_line(spark, tmp_path):
     lines = [r[0] for r in spark.read.text(str(tmp_path / "out/arcFrequency.txt")).collect()]
     assert len(lines) == 1000 and sum(map(int, lines)) == 8 * 280
     stages = {r["stage"]: r for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
-    assert stages["compacted"]["n_rows"] == 2 and stages["arcs counted"]["n_rows"] == 558 and stages["arcs counted"]["n_bytes"] > 0 and "contigs" in stages
+    assert stages["compacted"]["n_rows"] == 2 and stages["arcs counted"]["n_rows"] == 558 and stages["arcs counted"]["n_bytes"] > 0 and stages["arcs counted"]["n_shuffled"] > 0 and "contigs" in stages
     edges = [r[0].split("\t") for r in spark.read.text(str(tmp_path / "out/JungGraph_arc.txt")).collect()]
     assert len(edges) == 2 and edges[0][:2] == edges[1][1::-1] and edges[0][2] == "279"
     main(spark, ["-k", "21", "-c", "1", "-i", str(tmp_path / "in.fa"), "-o", str(tmp_path / "s"), "-s"])
