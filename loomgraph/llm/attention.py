@@ -39,7 +39,7 @@ GROUPS, MEMBERS = 24, 24
 INPUTS, PAIRS = 4096, 8192
 #: Windows in a batch, in scoring and in training.
 BATCH = 128
-TRAIN_BATCH = 64
+TRAIN_BATCH = 128
 #: Windows are passed on, and weights summed, in pieces of so many; weights of so many groups at a time.
 PIECE = 4096
 FAN_IN = 64
@@ -57,7 +57,7 @@ class Training:
 
     rounds: int = 6
     group: int = 24_576
-    rate: float = 0.01
+    rate: float = 0.02
 
 
 def quick_exp(x: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ class AttentionLM:
         return out
 
     def train(self, frames: np.ndarray, passes: int = 1, rate: float = Training.rate, batch: int = TRAIN_BATCH, seed: int = 4) -> AttentionLM:
-        """Adam over batches of frames; of the embeddings, only rows that a batch has are moved."""
+        """Adam over batches of frames."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
         t = 0
@@ -206,15 +206,24 @@ class AttentionLM:
             order = rng.permutation(len(frames))
             for a in range(0, len(frames), batch):
                 t += 1
-                step = np.float32(rate / (1 - 0.9**t))
-                for k, (rows, g) in self._gradient(frames[order[a : a + batch]]).items():
-                    m, v = 0.9 * first[k][rows] + 0.1 * g, 0.99 * second[k][rows] + 0.01 * g * g
-                    first[k][rows], second[k][rows] = m, v
-                    self.p[k][rows] -= step * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
+                step, root = np.float32(rate / (1 - 0.9**t)), np.float32(1 / (1 - 0.99**t))
+                for k, g in self._gradient(frames[order[a : a + batch]]).items():
+                    m, v = first[k], second[k]
+                    m *= np.float32(0.9)
+                    m += np.float32(0.1) * g
+                    v *= np.float32(0.99)
+                    g *= g
+                    v += np.float32(0.01) * g
+                    np.multiply(v, root, out=g)
+                    np.sqrt(g, out=g)
+                    g += np.float32(1e-8)
+                    np.divide(m, g, out=g)
+                    g *= step
+                    self.p[k] -= g
         return self
 
-    def _gradient(self, f: np.ndarray) -> dict[str, tuple]:
-        """Rows and gradient of each weight, of the mean negative log-probability."""
+    def _gradient(self, f: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradient of each weight, of the mean negative log-probability."""
         p = self.p
         x, pair, live, at, y = self._inputs(f)
         h, (e, q, k, v, s, total) = self._forward(x, pair, live, at)
@@ -238,30 +247,28 @@ class AttentionLM:
             if b > a:
                 dm[c] = own[a:b].T @ z[a:b]
                 inner[a:b] = z[a:b] @ p["M"][c].T
-        dh[order] += inner
-        every = slice(None)
-        out = {"O": (every, h.T @ g), "c": (every, g.sum(0)), "M": (every, dm), "m": (every, np.stack([z[edges[c] : edges[c + 1]].sum(0) for c in range(GROUPS - 1)]))}
+        dh[order] = np.take(dh, order, axis=0) + inner
+        out = {"O": h.T @ g, "c": g.sum(0), "M": dm, "m": np.stack([z[edges[c] : edges[c + 1]].sum(0) for c in range(GROUPS - 1)])}
         full = np.zeros((len(f) * STEP, SIZE + VALUES), np.float32)
         full[at] = dh
         full = full.reshape(len(f), STEP, -1)
         datt = full[..., :VALUES]
         dv = s.transpose(0, 2, 1) @ datt
         ds = datt @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+        ds *= s
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         root = np.float32(KEYS**-0.5)
         d = np.zeros((*x.shape, 2 * KEYS + VALUES), np.float32)
         d[..., :KEYS], d[..., KEYS:-KEYS], d[:, -STEP:, -KEYS:] = dk, dv, dq * root
         moved = e.reshape(-1, SIZE).T @ d.reshape(-1, d.shape[-1])
-        out |= {"K": (every, moved[:, :KEYS]), "V": (every, moved[:, KEYS:-KEYS]), "Q": (every, moved[:, -KEYS:])}
+        out |= {"K": moved[:, :KEYS].copy(), "V": moved[:, KEYS:-KEYS].copy(), "Q": moved[:, -KEYS:].copy()}
         de = d @ np.concatenate([p["K"], p["V"], p["Q"]], axis=1).T
         de[:, -STEP:] += full[..., VALUES:]
-        out["P"] = (every, de.sum(0))
-        flat = de.reshape(-1, SIZE)
-        for name, index in (("E", x.ravel()), ("B", pair.ravel())):
-            by = np.argsort(index, kind="stable")
-            seen, first = np.unique(index[by], return_index=True)
-            out[name] = (seen, np.add.reduceat(flat[by], first, axis=0))
+        out["P"] = de.sum(0)
+        by_column = np.ascontiguousarray(de.reshape(-1, SIZE).T)
+        for name, index, n in (("E", x.ravel(), INPUTS), ("B", pair.ravel(), PAIRS)):
+            out[name] = np.stack([np.bincount(index, c, n) for c in by_column], axis=1).astype(np.float32)
         return out
 
     def flat(self) -> np.ndarray:
