@@ -9,9 +9,10 @@ Documents with the same words are one text from the start. Texts that agree in a
 bucket. A bucket's members are compared with one leader, then (only while the bucket still holds members of different
 classes) with 64, 4096, ... further leaders, drawn by hash; a leader leaves its bucket once it has met all others. So every
 pair of a bucket is either compared or already in one class, and no bucket is expanded into its pairs. A bucket that holds
-more than CROWDED members of different classes after its first leader is divided by second bands: its pairs meet where
-they share two crowded bands, or in an uncrowded one. That loses a pair of just the asked similarity with a chance below
-4e-4, and spares comparing all texts that have one passage in common. A pair ends in the join where its sizes rule the
+more than CROWDED members of different classes after its first leader is replaced by prefix buckets: the regions of each of its members
+stand from rare to frequent among all such members, and two texts of the asked similarity share a region among so many of
+the first that the rest couldn't hold all they must have in common (prefixes()). No pair of a crowded bucket is lost by
+that, and texts that have one passage in common aren't all compared, as its regions stand last. A pair ends in the join where its sizes rule the
 asked similarity out, where its parity sketches differ in too many bits, or where its signatures agree in fewer than PRUNE
 of the coordinates (chance 2e-5 for a pair of just that similarity); all others are verified on the shingles of their
 whole texts. A parity sketch has, for each of its bits, whether an odd number of regions
@@ -26,6 +27,7 @@ matter. A row is known by its id and its text together, so that rows that share
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import ROW, doc_text, few, fitted, free_name, gathered, mix, row_identity, shingles, small_batches, text_slices, with_rows, without_rows, word_hashes, words
 from loomgraph.llm.graph import components
-from loomgraph.plans.session import discard, keep, scratch, stored
+from loomgraph.plans.session import discard, freed, keep, scratch, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -50,8 +52,14 @@ PARITY = 1024
 DEVIATIONS = 4.5
 #: Leaders in a bucket grow by this factor a round.
 GROWTH = 64
-#: Members of a bucket, after its first leader, beyond which second bands divide it.
+#: Members of a bucket, after its first leader, beyond which prefix buckets take its place.
 CROWDED = 4096
+#: The most frequent regions of crowded members, which stand last; any order of regions finds the same pairs.
+HEAD_REGIONS = 1 << 17
+#: Least sizes of the size classes, each an eighth above the one before.
+SIZES = [1]
+while SIZES[-1] < 1 << 40:
+    SIZES.append(SIZES[-1] + max(1, SIZES[-1] // 8))
 #: Members (or leaders) of a bucket that are compared at a time, on average; and pairs that numpy takes at a time.
 CHUNK = 128
 PIECE = 100_000
@@ -279,19 +287,81 @@ def verified(pairs: DataFrame, library: DataFrame) -> DataFrame:
     return small_batches(gathered(met)).mapInArrow(run, ", ".join(f"{c} binary" for c in pairs.columns) + ", linked boolean")
 
 
-def divided(members: DataFrame, most: int) -> DataFrame:
-    """Members with the buckets of more than most of them divided: a key's crowded buckets meet two by two in new ones.
+def least_shared(m: int, n: int) -> int:
+    """How many regions texts of m and n regions share at least, if they have the asked similarity."""
+    return math.ceil(SIMILARITY / (1 + SIMILARITY) * (m + n) * (1 - 1e-12))
 
-    Two keys that share an uncrowded bucket meet there; those that share only crowded ones need two of them.
+
+def prefix_buckets(regions: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The prefix buckets of a text: two texts of the asked similarity have one in common.
+
+    seen: how often each region occurs. With an order of all regions, and least_shared() a lower bound of what two texts
+    have in common, the first region in common is followed by all others; so it is among the first n - least + 1 of both.
+    Each pair of size classes has its own buckets, as the bound follows from the partner's least size.
+    """
+    n, order = len(regions), regions[np.lexsort((regions, seen))]
+    if not n:
+        return np.zeros(0, np.int64)
+    least, most = math.ceil(SIMILARITY * n * (1 - 1e-12)), math.floor(n / SIMILARITY * (1 + 1e-12))
+    own, low, high = (bisect.bisect_right(SIZES, x) - 1 for x in (n, least, most))
+    out = [np.zeros(0, np.uint64)]
+    for other in range(low, high + 1):
+        room = n - least_shared(n, max(least, SIZES[other])) + 1
+        out.append(mix(order[: max(0, room)] ^ mix(np.array([min(own, other) << 16 | max(own, other)], np.uint64))))
+    return np.concatenate(out).view(np.int64)
+
+
+def prefixes(library: DataFrame) -> DataFrame:
+    """key, bucket: all prefix buckets of each key of a stored table (key, cells)."""
+
+    def counted(batches):
+        for batch in batches:
+            region, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(n)], ["region", "n"])
+
+    seen = small_batches(library.select("cells")).mapInArrow(counted, "region long, n long").groupBy("region").agg(F.sum("n").alias("n"))
+    with freed(library.sparkSession):
+        head = seen.where(F.col("n") > 1).orderBy(F.desc("n"), "region").limit(HEAD_REGIONS).toArrow().sort_by("region")
+    sent = library.sparkSession.sparkContext.broadcast((head["region"].to_numpy(), head["n"].to_numpy()))
+
+    def run(batches):
+        known, often = sent.value
+        for batch in batches:
+            keys, buckets = [], []
+            for i, (key, cells) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
+                region = np.frombuffer(cells.as_buffer(), np.int64)
+                at = np.minimum(np.searchsorted(known, region), max(0, len(known) - 1))
+                seen = np.where(known[at] == region, often[at], 0) if len(known) else np.zeros(len(region), np.int64)
+                buckets.append(np.unique(prefix_buckets(region.view(np.uint64), seen)))
+                keys.append(key.as_py())
+                if i == len(batch) or sum(map(len, buckets)) >= PIECE:
+                    of = np.repeat(np.arange(len(keys)), [len(x) for x in buckets])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(of)), pa.array(np.concatenate(buckets))], ["key", "bucket"])
+                    keys, buckets = [], []
+
+    return small_batches(library.select("key", "cells")).mapInArrow(run, "key binary, bucket long")
+
+
+def divided(members: DataFrame, most: int, library: DataFrame | None = None) -> DataFrame:
+    """Members with the buckets of more than most of them divided.
+
+    With a library (key, cells), a key's crowded buckets give way to its prefix buckets, in which every pair of the asked
+    similarity meets. Without one they meet two by two in new ones, so that two keys need two crowded buckets in common, or
+    an uncrowded one; that is for callers who may lose the others.
     """
     sized = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket")
     crowded = stored(sized, "crowded")
     if crowded.isEmpty():
         return members
     own = members.join(crowded, "bucket").groupBy("key").agg(F.first("age").alias("age"), F.first("class").alias("class"), F.sort_array(F.collect_set("bucket")).alias("b"))
-    two = F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y)))
-    new = own.select(F.explode(F.flatten(two)).alias("bucket"), "key", "age", "class")
-    met = new.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket")
+    if library is None:
+        two = F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y)))
+        new = own.select(F.explode(F.flatten(two)).alias("bucket"), "key", "age", "class")
+    else:
+        own = stored(own.drop("b"), "crowd")
+        found = stored(prefixes(library.join(few(own.select("key")), "key", "left_semi")), "prefixes")
+        new = found.join(few(own), "key").select("bucket", "key", "age", "class")
+    met = new.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where(F.col("c1") != F.col("c2")).select("bucket")
     return members.join(crowded, "bucket", "left_anti").unionByName(new.join(met, "bucket"))
 
 
@@ -327,7 +397,7 @@ def linked_classes(docs: DataFrame, texts: DataFrame, crowded_from: int | None =
             mixed = rest.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where(F.col("c1") != F.col("c2")).select("bucket")
             members = stored(fitted(rest.join(mixed, "bucket"), n), "mixed")
             if leaders_each == 1 and crowded_from is not None:
-                members = stored(divided(members, crowded_from), "divided")
+                members = stored(divided(members, crowded_from, library), "divided")
             keep(members)
             if classes is not None:
                 keep(classes)
@@ -359,7 +429,7 @@ def membership(docs: DataFrame, crowded_from: int | None = CROWDED) -> tuple[Dat
 def classify(docs: DataFrame, crowded_from: int | None = CROWDED) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size of each row.
 
-    crowded_from: members from which on a bucket is divided by second bands, at the loss the module states; None: none is.
+    crowded_from: members beyond which prefix buckets take a bucket's place, which loses no pair; None: none is replaced.
     """
     rows, by_key = membership(docs, crowded_from)
     return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size")

@@ -620,3 +620,38 @@ def test_near_duplicates_among_texts_that_share_a_passage(spark, crowded_from):
         if t.endswith("changed words"):
             want[place[k]] = want[place[k - 1]] = min(place[k], place[k - 1])
     assert {r["doc_id"]: r["class_id"] for r in neardup.classify(df, crowded_from).collect()} == want
+
+
+def test_prefix_buckets_hold_every_linked_pair():
+    # two texts of the asked similarity have a bucket in common, whatever the order of regions
+    rng = np.random.default_rng(5)
+    linked = 0
+    for n in [1, 2, 4, 5, 9, 10, 36, 37, 100, 360, 1100] * 30:
+        a = rng.integers(0, 2**62, n).astype(np.uint64)
+        lost, more = rng.integers(0, n // 6 + 2), rng.integers(0, n // 6 + 2)
+        a, b = np.sort(a), np.sort(np.concatenate([a[lost:], rng.integers(0, 2**62, more).astype(np.uint64)]))
+        seen = Counter(dict(zip(a.tolist(), rng.integers(0, 3, n).tolist(), strict=True)))
+        buckets = [neardup.prefix_buckets(x, np.array([seen[r] for r in x.tolist()], np.int64)) for x in (a, b)]
+        if len(b) and neardup.similarity(a, b) >= neardup.SIMILARITY:
+            linked += 1
+            assert set(buckets[0].tolist()) & set(buckets[1].tolist())
+    assert linked > 100
+
+
+def test_pairs_that_share_one_crowded_bucket_only_are_found(spark):
+    # a first leader that shares the one band of a linked pair, but is linked to neither
+    rows = []
+    for seed, away in ((271, (7, 10, 11, 47)), (4548, (33, 46, 81, 96)), (4802, (8, 17, 74, 99))):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [" ".join("e" + str(k) if k in edits else w for k, w in enumerate(words)) for edits in (away, (), (30, 70))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    banded = {r["doc_id"]: set(r["bands"]) for r in neardup.sketch(df).collect()}
+    want = {}
+    for i in range(0, len(rows), 3):
+        assert len(banded[i + 1] & banded[i + 2]) == 1 and banded[i + 1] & banded[i + 2] <= banded[i]
+        want |= {i: i, i + 1: i + 1, i + 2: i + 1}
+    for crowded_from in (None, 1):
+        assert {r["doc_id"]: r["class_id"] for r in neardup.classify(df, crowded_from).collect()} == want
+    kept = neardup.deduplicate(df).collect()
+    assert {r["doc_id"] for r in kept} == set(want.values())
