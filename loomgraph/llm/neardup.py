@@ -435,12 +435,13 @@ def classify(docs: DataFrame, crowded_from: int | None = CROWDED) -> DataFrame:
     return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, crowded_from: int | None = CROWDED) -> DataFrame:
     """The table with one row of each class, one with the smallest doc_id; all columns stay.
 
     The rows that go are taken out, which are few against the table. Of rows that repeat with id and text, any one stays.
+    crowded_from is as in classify().
     """
-    rows, by_key = membership(docs)
+    rows, by_key = membership(docs, crowded_from)
     placed = rows.select("doc_id", ROW, "key").join(by_key, "key").select("doc_id", ROW, (F.struct("doc_id", ROW) == F.col("keeper")).alias("stays"))
     placed = stored(placed, "placed")
     gone = placed.where(~F.col("stays")).select("doc_id", ROW).distinct()

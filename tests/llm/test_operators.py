@@ -653,5 +653,6 @@ def test_pairs_that_share_one_crowded_bucket_only_are_found(spark):
         want |= {i: i, i + 1: i + 1, i + 2: i + 1}
     for crowded_from in (None, 1):
         assert {r["doc_id"]: r["class_id"] for r in neardup.classify(df, crowded_from).collect()} == want
-    kept = neardup.deduplicate(df).collect()
-    assert {r["doc_id"] for r in kept} == set(want.values())
+    # the pipeline's stage
+    kept = neardup.deduplicate(df, 1).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
