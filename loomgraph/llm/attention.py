@@ -45,8 +45,14 @@ PIECE = 4096
 FAN_IN = 64
 #: Clips what goes into quick_exp().
 LIMIT = np.float32(30)
-#: Columns of what a place's input is multiplied out to: its key, its value with a one behind it, and its query.
-_K, _V, _Q = slice(0, KEYS), slice(KEYS, KEYS + VALUES + 1), slice(KEYS + VALUES + 1, 2 * KEYS + VALUES + 1)
+#: Columns of what a place's input is multiplied out to: its key, its query, and its value with a one behind it.
+_K, _Q, _V = slice(0, KEYS), slice(KEYS, 2 * KEYS), slice(2 * KEYS, 2 * KEYS + VALUES + 1)
+#: Columns of the weights of a target: those of the groups, and those of the members of its own.
+_FIRST, _SECOND = slice(0, GROUPS), slice(GROUPS, GROUPS + MEMBERS)
+#: Bytes of freed memory that a process may keep for its next batch.
+KEPT = 30 << 20
+#: Weights that Adam takes at a time, so that its steps on them stay in the cache.
+ADAM = 1 << 14
 #: Which of a window's inputs each of its last STEP places may look at.
 _SEEN = (np.arange(WINDOW)[None] <= np.arange(WINDOW - STEP, WINDOW)[:, None]).astype(np.float32)
 
@@ -68,6 +74,14 @@ def quick_exp(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32).view(np.float32)
 
 
+def keep_freed() -> None:
+    """Lets the C library keep what a batch frees for the next one, in place of handing it back and faulting it in again.
+
+    glibc moves its bounds for that up to the largest block, below 32 MB, that was freed; this one is never touched.
+    """
+    np.empty(KEPT, np.uint8)
+
+
 def frame_type(n_ids: int) -> type:
     """The narrowest type for ids and the two marks behind them."""
     return np.uint16 if n_ids + 2 <= 1 << 16 else np.int32
@@ -121,67 +135,75 @@ class AttentionLM:
         return out.astype(np.int64)
 
     def _inputs(self, f: np.ndarray):
-        """Inputs, pairs and live places of frames, and the places and ids of their targets."""
+        """Inputs, pairs and live places of frames, and the places and ids of their targets by group, with the groups' edges."""
         now, before = f[:, 1:-1], f[:, :-2]
         pair = ((before * 40_503 + now * 2_654_435_761) >> 7) % PAIRS
         target = f[:, -STEP:].ravel()
         at = np.flatnonzero(target != self.none)
-        return self.input[now], pair, (now != self.none).astype(np.float32), at, target[at]
-
-    def _forward(self, x, pair, live, at):
-        """States (a one behind each) at the places of targets, and what the gradient needs: attention is s over its sums."""
+        at = at[np.argsort(self.group[target[at]], kind="stable")]
+        y = target[at]
+        return self.input[now], pair, (now != self.none).astype(np.float32), at, y, np.searchsorted(self.group[y], np.arange(GROUPS + 1))
+
+    def _mixed(self) -> np.ndarray:
+        """What inputs are multiplied by; nothing for the one behind the value."""
+        w = np.zeros((SIZE, _V.stop), np.float32)
+        w[:, _K], w[:, _Q], w[:, _V][:, :-1] = self.p["K"], self.p["Q"] * _ROOT, self.p["V"]
+        return w
+
+    def _forward(self, x, pair, live, w):
+        """States (a one behind each) of the places of targets, and what the gradient needs: attention is s times its share."""
         p = self.p
         e = np.take(p["E"], x, axis=0)
         e += np.take(p["B"], pair, axis=0)
         e += p["P"]
-        w = np.zeros((SIZE, _Q.stop), np.float32)
-        w[:, _K], w[:, _V][:, :-1], w[:, _Q] = p["K"], p["V"], p["Q"] * np.float32(KEYS**-0.5)
-        kvq = (e.reshape(-1, SIZE) @ w).reshape(*x.shape, -1)
-        k, v, q = kvq[..., _K], kvq[..., _V], kvq[:, -STEP:, _Q]
+        kqv = (e.reshape(-1, SIZE) @ w).reshape(*x.shape, -1)
+        k, q, v = kqv[..., _K], kqv[:, -STEP:, _Q], kqv[..., _V]
         v[..., -1] = 1  # sums up the weights
         edge = np.flatnonzero(live.min(axis=1) == 0)
         v[edge] *= live[edge, :, None]
         s = quick_exp(q @ k.transpose(0, 2, 1))
         s *= _SEEN
         seen = s @ v
-        total = np.maximum(seen[..., VALUES:], np.float32(1e-30))
+        share = 1 / np.maximum(seen[..., VALUES:], np.float32(1e-30))
         h = np.empty((len(x), STEP, VALUES + SIZE + 1), np.float32)
-        np.multiply(seen[..., :VALUES], 1 / total, out=h[..., :VALUES])
+        np.multiply(seen[..., :VALUES], share, out=h[..., :VALUES])
         h[..., VALUES:-1] = e[:, -STEP:]
         h[..., -1] = 1
-        h = h.reshape(-1, h.shape[-1])
-        return h if len(at) == len(h) else np.take(h, at, axis=0), (e, q, k, v, s, total)
-
-    def _groups(self, h):
-        """Weights of the groups; over their sum they are chances."""
-        return quick_exp(h @ _joined(self.p["O"], self.p["c"]))
-
-    def _members(self, h, y):
-        """An order of the targets in learned groups, edges of the groups in it, and states and members' weights so ordered."""
-        g = self.group[y]
-        order = np.argsort(g, kind="stable")
-        edges = np.searchsorted(g[order], np.arange(GROUPS))
-        order = order[: edges[-1]]
-        own, z = np.take(h, order, axis=0), np.empty((len(order), MEMBERS), np.float32)
-        w = _joined(self.p["M"], self.p["m"])
-        for k in range(GROUPS - 1):
-            a, b = edges[k], edges[k + 1]
+        return h, (e, q, k, v, s, share, edge)
+
+    def _heads(self) -> np.ndarray:
+        """What states with a one behind them are multiplied by, for each group; the last one's members have no weights."""
+        p, w = self.p, np.zeros((GROUPS, VALUES + SIZE + 1, _SECOND.stop), np.float32)
+        w[:, :-1, _FIRST], w[:, -1, _FIRST] = p["O"], p["c"]
+        w[:-1, :-1, _SECOND], w[:-1, -1, _SECOND] = p["M"], p["m"]
+        return w
+
+    def _weights(self, h, heads, edges):
+        """Weights of the groups and of the members, a row for each target's state; over their sums they are chances."""
+        z = np.empty((len(h), _SECOND.stop), np.float32)
+        for c in range(GROUPS):
+            a, b = edges[c], edges[c + 1]
             if b > a:
-                np.matmul(own[a:b], w[k], out=z[a:b])
-        return order, edges, own, quick_exp(z)
+                np.matmul(h[a:b], heads[c], out=z[a:b])
+        return quick_exp(z)
+
+    def _parts(self, z, y, edges):
+        """The two parts of weights, and which of its columns is each target's; the last group has no members."""
+        own = edges[-2]
+        return (z[:, _FIRST], self.group[y]), (z[:own, _SECOND], self.member[y[:own]])
 
     def log_chances(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (window times STEP plus place) and natural log-probabilities of all targets of frames."""
-        x, pair, live, at, y = self._inputs(f)
-        h, _ = self._forward(x, pair, live, at)
-        first = self._groups(h)
-        order, _, _, second = self._members(h, y)
-        chance = first[np.arange(len(y)), self.group[y]] / (first @ _ONES[:GROUPS])
-        chance[order] *= second[np.arange(len(order)), self.member[y[order]]] / (second @ _ONES[:MEMBERS])
+        """Places (window times STEP plus place) and natural log-probabilities of all targets of frames, by group."""
+        x, pair, live, at, y, edges = self._inputs(f)
+        h, _ = self._forward(x, pair, live, self._mixed())
+        z = self._weights(np.take(h.reshape(-1, h.shape[-1]), at, axis=0), self._heads(), edges)
+        chance, inner = (w[np.arange(len(w)), index] / (w @ _ONES[: w.shape[1]]) for w, index in self._parts(z, y, edges))
+        chance[: len(inner)] *= inner
         return at, np.log(chance) + self.within[y]
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability of each text."""
+        keep_freed()
         out = np.zeros(len(lengths))
         n = -(-lengths // STEP)
         edges = np.concatenate([[0], np.cumsum(n)])
@@ -199,77 +221,76 @@ class AttentionLM:
 
     def train(self, frames: np.ndarray, passes: int = 1, rate: float = Training.rate, batch: int = TRAIN_BATCH, seed: int = 4) -> AttentionLM:
         """Adam over batches of frames."""
+        keep_freed()
         rng = np.random.default_rng(seed)
-        first, second = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
+        # moments without their factors of 0.1 and 0.01
+        moments = {k: [np.zeros(w.size, np.float32) for _ in range(2)] for k, w in self.p.items()}
         t = 0
         for _ in range(passes):
             order = rng.permutation(len(frames))
             for a in range(0, len(frames), batch):
                 t += 1
-                step, root = np.float32(rate / (1 - 0.9**t)), np.float32(1 / (1 - 0.99**t))
+                root = np.sqrt(0.01 / (1 - 0.99**t))
+                step, least = np.float32(0.1 * rate / (1 - 0.9**t) / root), np.float32(1e-8 / root)
                 for k, g in self._gradient(frames[order[a : a + batch]]).items():
-                    m, v = first[k], second[k]
-                    m *= np.float32(0.9)
-                    m += np.float32(0.1) * g
-                    v *= np.float32(0.99)
-                    g *= g
-                    v += np.float32(0.01) * g
-                    np.multiply(v, root, out=g)
-                    np.sqrt(g, out=g)
-                    g += np.float32(1e-8)
-                    np.divide(m, g, out=g)
-                    g *= step
-                    self.p[k] -= g
+                    p, g = self.p[k].reshape(-1), g.reshape(-1)
+                    for i in range(0, len(p), ADAM):
+                        some = slice(i, i + ADAM)
+                        m, v, d = moments[k][0][some], moments[k][1][some], g[some]
+                        m *= np.float32(0.9)
+                        m += d
+                        v *= np.float32(0.99)
+                        d *= d
+                        v += d
+                        np.sqrt(v, out=d)
+                        d += least
+                        np.divide(m, d, out=d)
+                        d *= step
+                        p[some] -= d
         return self
 
     def _gradient(self, f: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of each weight, of the mean negative log-probability."""
-        p = self.p
-        x, pair, live, at, y = self._inputs(f)
-        h, (e, q, k, v, s, total) = self._forward(x, pair, live, at)
-        v = v[..., :-1]
-        s *= live[:, None]
-        s /= total
+        x, pair, live, at, y, edges = self._inputs(f)
+        w, heads = self._mixed(), self._heads()
+        h, (e, q, k, v, s, share, edge) = self._forward(x, pair, live, w)
+        own = np.take(h.reshape(-1, h.shape[-1]), at, axis=0)
+        z = self._weights(own, heads, edges)
         scale = np.float32(1 / max(1, len(at)))
-        g = self._groups(h)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(len(y)), self.group[y]] -= 1
-        g *= scale
-        order, edges, own, z = self._members(h, y)
-        h, own = h[:, :-1], own[:, :-1]
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(order)), self.member[y[order]]] -= 1
-        z *= scale
-        dh, dm = g @ p["O"].T, np.zeros_like(p["M"])
-        inner = np.empty(own.shape, np.float32)
-        for c in range(GROUPS - 1):
+        for part, index in self._parts(z, y, edges):
+            part *= (scale / (part @ _ONES[: part.shape[1]]))[:, None]
+            part[np.arange(len(part)), index] -= scale
+        z[edges[-2] :, _SECOND] = 0
+        dh, dw = np.empty((len(own), VALUES + SIZE), np.float32), np.zeros_like(heads)
+        for c in range(GROUPS):
             a, b = edges[c], edges[c + 1]
             if b > a:
-                dm[c] = own[a:b].T @ z[a:b]
-                inner[a:b] = z[a:b] @ p["M"][c].T
-        dh[order] = np.take(dh, order, axis=0) + inner
-        out = {"O": h.T @ g, "c": g.sum(0), "M": dm, "m": np.stack([z[edges[c] : edges[c + 1]].sum(0) for c in range(GROUPS - 1)])}
-        full = np.zeros((len(f) * STEP, SIZE + VALUES), np.float32)
+                np.matmul(own[a:b].T, z[a:b], out=dw[c])
+                np.matmul(z[a:b], heads[c, :-1].T, out=dh[a:b])
+        first, second = dw[..., _FIRST].sum(0), dw[:-1, :, _SECOND]
+        out = {"O": first[:-1], "c": first[-1], "M": second[:, :-1], "m": second[:, -1]}
+        full = np.zeros((len(f) * STEP, VALUES + SIZE), np.float32)
         full[at] = dh
         full = full.reshape(len(f), STEP, -1)
-        datt = full[..., :VALUES]
-        dv = s.transpose(0, 2, 1) @ datt
-        ds = datt @ v.transpose(0, 2, 1)
-        ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+        # of the weights s, by their sums; the one behind a value takes the mean off, and is none at places outside
+        back = np.empty((len(f), STEP, VALUES + 1), np.float32)
+        np.multiply(full[..., :VALUES], share, out=back[..., :-1])
+        np.einsum("ijk,ijk->ij", back[..., :-1], h[..., :VALUES], out=back[..., -1])
+        np.negative(back[..., -1], out=back[..., -1])
+        ds = back @ v.transpose(0, 2, 1)
         ds *= s
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        root = np.float32(KEYS**-0.5)
-        d = np.zeros((*x.shape, 2 * KEYS + VALUES), np.float32)
-        d[..., :KEYS], d[..., KEYS:-KEYS], d[:, -STEP:, -KEYS:] = dk, dv, dq * root
+        d = np.zeros((*x.shape, _V.stop - 1), np.float32)
+        values = d[..., _V.start :]
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., _K])
+        np.matmul(ds, k, out=d[:, -STEP:, _Q])
+        np.matmul(s.transpose(0, 2, 1), back[..., :-1], out=values)
+        values[edge] *= live[edge, :, None]
         moved = e.reshape(-1, SIZE).T @ d.reshape(-1, d.shape[-1])
-        out |= {"K": moved[:, :KEYS].copy(), "V": moved[:, KEYS:-KEYS].copy(), "Q": moved[:, -KEYS:].copy()}
-        de = d @ np.concatenate([p["K"], p["V"], p["Q"]], axis=1).T
+        out |= {"K": moved[:, _K], "Q": moved[:, _Q] * _ROOT, "V": moved[:, _V]}
+        de = (d.reshape(-1, d.shape[-1]) @ w[:, :-1].T).reshape(e.shape)
         de[:, -STEP:] += full[..., VALUES:]
-        out["P"] = de.sum(0)
-        by_column = np.ascontiguousarray(de.reshape(-1, SIZE).T)
-        for name, index, n in (("E", x.ravel(), INPUTS), ("B", pair.ravel(), PAIRS)):
-            out[name] = np.stack([np.bincount(index, c, n) for c in by_column], axis=1).astype(np.float32)
-        return out
+        out |= {"P": de.sum(0), "E": _summed_rows(de, x, INPUTS), "B": _summed_rows(de, pair, PAIRS)}
+        return {name: np.ascontiguousarray(g) for name, g in out.items()}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.p.values()])
@@ -312,12 +333,15 @@ def _logs(weights: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(share, 1e-9))
 
 
-def _joined(w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What states with a one behind them are multiplied by."""
-    return np.concatenate([w, b[..., None, :]], axis=-2)
+def _summed_rows(rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """(n, SIZE) sums of the rows of each index."""
+    out = np.zeros(n * SIZE, np.float32)
+    np.add.at(out, (index.reshape(-1, 1).astype(np.int64) * SIZE + np.arange(SIZE)).ravel(), rows.ravel())
+    return out.reshape(n, SIZE)
 
 
 _ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
+_ROOT = np.float32(KEYS**-0.5)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

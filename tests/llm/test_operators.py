@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -199,6 +202,45 @@ def test_attention_gradient_is_that_of_the_score(monkeypatch):
         assert math.isclose((up - down) / (2 * size), float(np.abs(full).sum()), rel_tol=0.1, abs_tol=2e-3), name
 
 
+def test_attention_training_is_adam():
+    rng = np.random.default_rng(6)
+    lm, slow = (attention.AttentionLM(np.append(np.arange(1100) % 31, 9).astype(float)) for _ in range(2))
+    f = lm.frames(np.append(rng.integers(0, 1100, 700), 1100), np.array([701]))
+    lm.train(f, passes=2, batch=4)
+    first, second = ({k: np.zeros(w.shape) for k, w in slow.p.items()} for _ in range(2))
+    order, t = np.random.default_rng(4), 0
+    for _ in range(2):
+        frames = f[order.permutation(len(f))]
+        for a in range(0, len(f), 4):
+            t += 1
+            for k, g in slow._gradient(frames[a : a + 4]).items():
+                g = g.astype(float)
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                slow.p[k] -= (0.02 * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    far = [np.abs(lm.p[k] - w) for k, w in slow.p.items()]
+    assert np.mean(np.concatenate([x.ravel() for x in far]) > 1e-3) < 1e-3
+
+
+def test_attention_scoring_keeps_its_memory_from_batch_to_batch():
+    # in a process of its own, as a task's; pages that the kernel gave while scoring, by windows
+    run = """
+import resource
+import numpy as np
+from loomgraph.llm import attention
+lm = attention.AttentionLM(np.arange(2000) % 31 + 1.0)
+ids = np.random.default_rng(0).integers(0, 1999, 60_000)
+lengths = np.full(60, 1000)
+lm.score(ids, lengths)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(4):
+    lm.score(ids, lengths)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / (4 * 60 * 21))
+"""
+    got = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True, timeout=120, cwd=Path(attention.__file__).parents[2])
+    assert float(got.stdout) < 2
+
+
 def test_lm_beats_the_unigram_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lmscore.score(docs).where("held_out").selectExpr("sum(score)", "sum(if(score > base_score, 1, 0))", "count(*)").first()
