@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import arcs as A
 from loomgraph.operators import clean
-from loomgraph.operators.compact import compact
+from loomgraph.operators.compact import compact, compact_reads
 from loomgraph.operators.contigs import contigs, longest_first, numbered, statistics
 from loomgraph.plans.params import Params, parse
 from loomgraph.plans.session import keep, scratch, shuffled_bytes, stored, stored_count, table_bytes
@@ -23,7 +23,7 @@ ROUNDS = 4
 
 def graph(reads: DataFrame, k: int, cutoff: int) -> DataFrame:
     """Unit arcs that pass the cutoff."""
-    return A.as_arcs(A.cutoff(A.count_arcs(reads, k), cutoff), k)
+    return A.unit_arcs(reads, k, cutoff)
 
 
 def _mark(arcs: DataFrame) -> tuple:
@@ -68,7 +68,7 @@ def _round(arcs: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
 def assemble(reads: DataFrame, k: int, cutoff: int, split: bool = False) -> DataFrame:
     """Contigs of reads, after all error removal."""
     with scratch():
-        arcs = keep(clean_up(compact(graph(reads, k, cutoff), k), k, split=split)[0])
+        arcs = keep(clean_up(compact_reads(reads, k, cutoff), k, split=split)[0])
     return contigs(arcs, k)
 
 
@@ -105,7 +105,7 @@ def _run(spark: SparkSession, p: Params) -> list[tuple]:
         reads = spread(from_fasta(spark, p.input, p.k))
         counted, n = stored_count(A.count_arcs(reads, p.k), "counted")
         ended("arcs counted", n, counted)
-        sinks.write_histogram(A.histogram(counted, A.kmer_total(reads, counted, p.k), spark), f"{p.output}/arcFrequency.txt")
+        sinks.write_histogram(A.histogram(A.bins(counted), A.kmer_total(reads, p.k), spark), f"{p.output}/arcFrequency.txt")
         ended("arc frequencies")
         arcs = A.as_arcs(A.cutoff(counted, p.cutoff), p.k)
         if p.kmer_graph:
