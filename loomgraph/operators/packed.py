@@ -28,6 +28,8 @@ CHUNK, PASS = 1 << 22, 1 << 22
 HELD = 1 << 21
 #: Windows that buckets are counted together up to, as small ones aren't worth a turn of their own.
 TOGETHER = 1 << 18
+#: What a window that is asked for counts besides.
+ASKED = 1 << 40
 #: Rows in an Arrow batch of results.
 ROWS = 1 << 16
 #: Bits of a node's bucket, and runs that are contracted at a time.
@@ -99,15 +101,18 @@ def _joined_codes(columns: list[pa.Array], column: str) -> tuple[np.ndarray, np.
     return np.concatenate(parts), np.concatenate(starts)
 
 
-def _cut(codes: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple]:
-    """(buckets, lens, bytes, number of bytes) of the pieces of a few million bases at a time, by bucket."""
+def _cut(codes: np.ndarray, starts: np.ndarray, size: int, first: bool = False) -> Iterator[tuple]:
+    """(buckets, lens, bytes, number of bytes) of the pieces of a few million bases at a time, by bucket; first: of the first window of each read only."""
     for lo in range(0, max(len(codes) - size + 1, 0), CHUNK):
         part = codes[lo : lo + CHUNK + size - 1]
         own = starts[np.searchsorted(starts, lo, "right") : np.searchsorted(starts, lo + len(part))] - lo
-        yield _cut_part(part, own, size)
+        at = None
+        if first:
+            at = np.concatenate([starts[starts == lo] - lo, own, np.flatnonzero(codes[max(lo - 1, 0) : lo + len(part)] == _BREAK) + 1 - min(lo, 1)])
+        yield _cut_part(part, own, size, at)
 
 
-def _cut_part(codes: np.ndarray, starts: np.ndarray, size: int) -> tuple:
+def _cut_part(codes: np.ndarray, starts: np.ndarray, size: int, only: np.ndarray | None = None) -> tuple:
     m, n = min(10, size // 2), len(codes)
     breaks = np.flatnonzero(codes == _BREAK)
     c1 = np.zeros(n + 64, np.uint8)
@@ -131,10 +136,14 @@ def _cut_part(codes: np.ndarray, starts: np.ndarray, size: int) -> tuple:
         low, span = np.minimum(low[:-span], low[span:]), 2 * span
     if span < wide:
         low = np.minimum(low[: span - wide], low[wide - span :])
-    new = np.ones(len(low), bool)
-    np.not_equal(low[1:], low[:-1], out=new[1:])
-    first = np.flatnonzero(new)
-    lens = np.diff(np.append(first, len(low)))
+    if only is None:
+        new = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        lens = np.diff(np.append(first, len(low)))
+    else:
+        first = np.unique(only[only < len(low)])
+        lens = np.ones(len(first), np.int64)
     low = low[first]
     first, lens, low = (x[low > 0] for x in (first, lens, low))
     most = PIECE - size + 1
@@ -177,10 +186,17 @@ def _rows_of_pieces(buckets: np.ndarray, lens: np.ndarray, data: np.ndarray, roo
     return pa.RecordBatch.from_arrays(columns, ["bucket", "n", "lens", "w", "times"])
 
 
-def pieces(reads: DataFrame, size: int) -> DataFrame:
-    """The pieces of reads: of the column seq, or of the lines of the column text, whose letters stand for bases."""
+def pieces(reads: DataFrame, size: int, first: bool = False) -> DataFrame:
+    """The pieces of reads: of the column seq, or of the lines of the column text, whose letters stand for bases.
+
+    first: of the first window of each read only, seen ASKED times each.
+    """
     column = "seq" if "seq" in reads.columns else "text"
 
+    def rows(held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        for p in _cut(*_joined_codes(held, column), size, first):
+            yield _rows_of_pieces(*p, np.full(len(p[1]), ASKED, np.int64) if first else None)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -189,10 +205,10 @@ def pieces(reads: DataFrame, size: int) -> DataFrame:
                 held.append(x)
                 n += x.nbytes
             if n >= CHUNK:
-                yield from map(lambda p: _rows_of_pieces(*p), _cut(*_joined_codes(held, column), size))
+                yield from rows(held)
                 held, n = [], 0
         if held:
-            yield from map(lambda p: _rows_of_pieces(*p), _cut(*_joined_codes(held, column), size))
+            yield from rows(held)
 
     return reads.where(f"{column} IS NOT NULL").select(column).mapInArrow(cut, SCHEMA)
 

@@ -11,7 +11,6 @@ from loomgraph.functions import kmers as K
 from loomgraph.operators import arcs as A
 from loomgraph.operators import compact as C
 from loomgraph.operators import packed as P
-from loomgraph.plans import catalog
 from loomgraph.plans.assembly import graph
 from loomgraph.plans.session import shuffled_bytes
 
@@ -130,7 +129,15 @@ def test_each_arc_is_in_one_stretch(monkeypatch, n_nodes):
         assert stay == (out[node] != 1 or out[rc(node)] != 1 or max(node, rc(node)) in loops)
 
 
-def test_queries_that_count_read_lines(spark):
-    """All queries over documents at one small size give what single arcs give."""
-    folder = "/root/testdata/sf0.001"
-    assert sorted(map(tuple, catalog.QUERIES["arc_cutoff"](spark, folder).collect())) == sorted(map(tuple, A.cutoff(A.count_arcs(catalog._reads(spark, folder), catalog.K), catalog.CUTOFF).collect()))
+def test_first_arcs_are_those_that_reads_begin_with(spark):
+    """The join with arcs0 shuffles the first arcs of reads, not all arcs."""
+    rng = random.Random(4)
+    texts = ["\n".join("".join(rng.choices("abcdefgh ", k=n)) for n in (3, 23, 24, 30_000, 5)) for _ in range(6)] * 2 + ["", None, "\n\n" + "b" * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for k in (23, 33):
+        starts = A.bases(docs).where(f"length(seq) > {k}").selectExpr(f"left(seq, {k + 1}) AS seq").distinct()
+        asked = {tuple(r) for r in A.count_arcs(starts, k).select("kmer", "arc_idx").collect()}
+        before = shuffled_bytes(spark)
+        got = sorted(map(tuple, A.first_arcs(docs, k).collect()))
+        assert k > 31 or shuffled_bytes(spark) - before < 3 * 12 * 30_055
+        assert got == sorted(r for r in map(tuple, A.count_arcs(docs, k).collect()) if r[:2] in asked)
